@@ -46,11 +46,13 @@ def with_ctes(sql: str) -> str:
 
     def need(text: str) -> None:
         for name in CTES:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
+            if name not in ordered and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
                 need(CTES[name])
                 if name not in ordered:
                     ordered.append(name)
 
+    if sql.lstrip().startswith("WITH"):
+        sql = f"SELECT * FROM ({sql})"
     need(sql)
     if not ordered:
         return sql

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from tallyloom.session import write_and_read
 
 
-def global_rank(df: DataFrame, order: list[Column], label: str = "rank") -> DataFrame:
-    """Add ``_rank`` (1-based, exact) and ``_total`` in the given total order.
-
-    A window without PARTITION BY would pull every row into one task. Here the rows are range
-    partitioned on the whole order key (ties on the leading column are split by the rest of the key,
-    so a value shared by a third of the rows cannot fill one partition), numbered inside each range,
-    and shifted by the row counts of the earlier ranges. The range number is written out before it is
-    used twice. The offsets have one row per partition, so broadcasting them is bounded by the
-    partition count and not by the data.
+def ranged_table(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """The rows range partitioned on the whole order key and written out with their range number.
+
+    Ties on the leading column are split by the rest of the key, so a value shared by a third of the
+    rows cannot fill one range. The number is only known at run time and is used twice, hence the write.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    ranged = write_and_read(ranged, label)
+    return write_and_read(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), label)
+
+
+def numbered(ranged: DataFrame, order: list[Column]) -> DataFrame:
+    """Number the rows inside each range and shift by the row counts of the earlier ranges. The
+    offsets have one row per range, so broadcasting them is bounded by the partition count."""
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_range")
@@ -37,6 +37,12 @@ def global_rank(df: DataFrame, order: list[Column], label: str = "rank") -> Data
     )
 
 
+def global_rank(df: DataFrame, order: list[Column], label: str = "rank") -> DataFrame:
+    """Add ``_rank`` (1-based, exact) and ``_total`` in the given total order. A window without
+    PARTITION BY would pull every row into one task; here many tasks share the work."""
+    return numbered(ranged_table(df, order, label), order)
+
+
 def global_ntile(df: DataFrame, tiles: int, order: list[Column], out: str) -> DataFrame:
     """NTILE over the whole table: the first ``total % tiles`` tiles take one row more."""
     ranked = global_rank(df, order, out)

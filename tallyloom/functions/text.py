@@ -58,18 +58,29 @@ def python_singular(word: str) -> str:
     return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
 
 
-def correction_parts(value: Column | str) -> Column:
-    """struct(term, entity) of an "X means Y" sentence; NULL when the text is not one."""
+def correction_pairs(value: Column | str) -> Column:
+    """Array with the struct(term, entity) of an "X means Y" sentence, empty when the text is not one.
+
+    The text and the pair are bound as lambda variables, so each pattern is matched once per row even
+    though the pair is tested and used several times; the full pattern only runs on texts that hold one
+    of its phrases at all.
+    """
     text = clean_text(value)
-    pick = lambda i: F.regexp_extract(text, fv.CORRECTION_PATTERN, i)
-    term = F.lower(F.btrim(F.trim(pick(1)), F.lit("'\"")))
-    entity = F.lower(F.btrim(F.trim(pick(2)), F.lit("'\"`")))
-    usable = (term != "") & (entity != "") & (term != entity)
-    return F.when(usable, F.struct(term.alias("term"), entity.alias("entity")))
+    candidate = F.when(text.rlike(fv.CORRECTION_PHRASES), F.array(text)).otherwise(F.array().cast("array<string>"))
+
+    def pair(t: Column) -> Column:
+        term = F.btrim(F.trim(F.regexp_extract(t, fv.CORRECTION_PATTERN, 1)), F.lit("'\""))
+        entity = F.btrim(F.trim(F.regexp_extract(t, fv.CORRECTION_PATTERN, 2)), F.lit("'\"`"))
+        return F.struct(F.lower(term).alias("term"), F.lower(entity).alias("entity"))
+
+    return F.filter(
+        F.transform(candidate, pair),
+        lambda p: (p["term"] != "") & (p["entity"] != "") & (p["term"] != p["entity"]),
+    )
 
 
 def is_correction(value: Column | str) -> Column:
-    return correction_parts(value).isNotNull()
+    return F.size(correction_pairs(value)) > 0
 
 
 def keyed_map(values: dict) -> Column:
@@ -102,5 +113,5 @@ def whole_word_hits(texts: DataFrame, keep: list[str], text_col: str, phrases: D
         .withColumn("_word", F.regexp_extract("_low", r"(?U)\w+", 0))
         .where(F.col("_word") != "")
     )
-    confirmed = F.col("_text").rlike(F.concat(F.lit(r"(?U)\b\Q"), F.col("_low"), F.lit(r"\E\b")))
+    confirmed = F.rlike("_text", F.concat(F.lit(r"(?U)\b\Q"), F.col("_low"), F.lit(r"\E\b")))
     return exploded.join(keyed, "_word").where(confirmed).select(*keep, "phrase")

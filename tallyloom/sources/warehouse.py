@@ -103,11 +103,10 @@ QUESTION_SQL = "SELECT country, SUM(net_revenue) FROM gold_daily_revenue GROUP B
 DOMAIN_ROLES = ["finance", "pm", "marketing", "merchandising"]
 
 
-def pick(values: list[str], index: Column, default: Column) -> Column:
-    out = None
-    for i, v in enumerate(values):
-        out = F.when(index == i, v) if out is None else out.when(index == i, v)
-    return out.otherwise(default)
+def pick(values: list, index: Column, default: Column) -> Column:
+    """The value at an index of a literal list, the default beyond its end."""
+    listed = F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+    return F.when(index < len(values), listed).otherwise(default)
 
 
 def telemetry(t: Warehouse) -> DataFrame:
@@ -257,6 +256,9 @@ def eval_suite(t: Warehouse) -> DataFrame:
     )
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
 def eval_results(t: Warehouse) -> DataFrame:
     """Graded answers of three runs over the suite; a few carry a different spelling of the question."""
     run = F.col("run_no")
@@ -269,7 +271,7 @@ def eval_results(t: Warehouse) -> DataFrame:
             pick(["", "before", "after", "recovery"], run, F.lit("")).alias("phase"),
             F.timestamp_seconds(F.lit(1767225600) + run * 86400).alias("ts"),
             F.when(every("item_id", 9), F.concat(F.lit("new: "), F.col("text")))
-            .when(every("item_id", 2), F.concat(F.lit("  "), F.upper("text")))
+            .when(every("item_id", 2), F.concat(F.lit("  "), F.translate("text", LETTERS, LETTERS.upper())))
             .otherwise(F.col("text"))
             .alias("question"),
             grade.alias("assessment"),
@@ -306,3 +308,59 @@ def session_manifest(t: Warehouse) -> DataFrame:
         F.concat_ws("-", text_of("conv_id"), text_of("turn")).alias("message_id"),
         (F.lit(1767225600) + F.col("conv_id") * 60).cast("double").alias("ts"),
     )
+
+
+def part_proposals(t: Warehouse) -> DataFrame:
+    """Scored proposals, one per part, with every shape of entity name and every status."""
+    column = F.concat(F.lit("c"), text_of("p_size"))
+    entity = F.concat(
+        pick(["", "fact_sales.", "gold.`fact_sales`.", "main.gold.fact_sales."], F.col("p_size") % 4, F.lit("")), column
+    )
+    return t("part").select(
+        F.concat_ws(" ", F.col("p_name"), text_of("p_partkey")).alias("term"),
+        entity.alias("entity"),
+        F.round((F.col("p_partkey") % 100).cast("double") / 100, 2).alias("confidence"),
+        (F.col("p_size") % 5).alias("distinct_users"),
+        (F.col("p_size") % 9 + 1).cast("bigint").alias("evidence_count"),
+        pick(["proposed", "approved", "applied", "rejected"], F.col("p_partkey") % 5, F.lit("proposed")).alias("status"),
+    )
+
+
+def held_synonyms(t: Warehouse) -> DataFrame:
+    """Synonyms a view already has: a few brands per part type."""
+    return (
+        t("part")
+        .where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
+        .groupBy(F.lit("revenue_metrics").alias("view"), F.col("p_type").alias("name"), F.col("p_brand").alias("synonym"))
+        .agg(F.min("p_partkey").alias("position"))
+    )
+
+
+def learned_synonyms(t: Warehouse) -> DataFrame:
+    """Learned synonyms, some of them another spelling of one the view has."""
+    return t("part").select(
+        F.lit("revenue_metrics").alias("view"),
+        F.col("p_type").alias("name"),
+        F.when(F.col("p_size") % 3 == 0, F.upper("p_brand")).when(F.col("p_size") % 3 == 1, F.upper("p_name"))
+        .otherwise(F.col("p_name")).alias("synonym"),
+        F.col("p_partkey").alias("position"),
+    )
+
+
+def question_marks(t: Warehouse) -> DataFrame:
+    """Telemetry questions with a probability, three metric probabilities and a stratum."""
+    n = ((F.col("ts") - 1767225600) / 60).cast("bigint")
+    q = telemetry(t).withColumn("n", n)
+    part = lambda k: (F.col("n") * k % 50 + 1).cast("double") / 100
+    metrics = F.array(
+        *[F.struct(F.lit(m).alias("name"), part(k).alias("p")) for m, k in (("net_revenue", 3), ("aov", 7), ("monetary", 11))]
+    )
+    return q.select(
+        "message_id",
+        F.col("content").alias("question"),
+        ((F.col("n") * 7 % 101).cast("double") / 100).alias("p_answerable"),
+        metrics.alias("metrics"),
+        pick(["clean", "jargon", "collision"], F.col("n") % 4, F.lit("noise")).alias("stratum"),
+        (F.col("n") % 4 != 3).alias("answerable"),
+        F.when(F.col("n") % 4 != 3, "answerable").otherwise("noise").alias("label"),
+    )

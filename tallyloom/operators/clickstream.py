@@ -26,13 +26,17 @@ KNOWN_KEYS += ["meta", "actor", "action", "context"]
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed union row per line. A truncated line gives all NULLs; the whole line is then kept in
-    ``_rescued``. Keys outside the schema are kept there as JSON text."""
+    ``_rescued``. Keys outside the schema are kept there as JSON text.
+
+    The parsed row comes out of a generator on purpose: a filter on its fields then stays above it,
+    where it reads parsed columns. Pushed below, it would parse the line again for every field it tests.
+    """
     everything = F.from_json("value", "map<string,string>")
     unknown = F.map_filter(everything, lambda k, _: ~k.isin(KNOWN_KEYS))
     rescued = F.when(everything.isNull(), F.col("value")).when(F.size(unknown) > 0, F.to_json(unknown))
     carried = [c for c in lines.columns if c.startswith("_")]
-    parsed = F.from_json("value", EVENT_SCHEMA)
-    return lines.select(parsed.alias("e"), rescued.alias("_rescued"), *carried).select("e.*", "_rescued", *carried)
+    parsed = F.array(F.from_json("value", EVENT_SCHEMA))
+    return lines.select("value", *carried, F.inline(parsed)).withColumn("_rescued", rescued).drop("value")
 
 
 FIELDS = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
 from tallyloom.functions.numbers import mean, money, ratio, sum_if
-from tallyloom.functions.text import plain_tokens, whole_word_hits
+from tallyloom.functions.text import whole_word_hits
 
 Measure = Callable[[], Column]
 

@@ -42,11 +42,16 @@ def text_of(name: str) -> Column:
 
 def raw_sales(t: Warehouse) -> DataFrame:
     """Sales lines as landed: all strings, with the faults a real export has (see FIXTURES B1)."""
-    cust = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # the order heads meet their customer first, so the lines are shuffled by order key only once
+    heads = (
+        t("orders")
+        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
+    )
     base = (
         t.spread("lineitem", "l_orderkey")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        .join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     returned = (F.col("l_returnflag") == "R") & every("l_orderkey", 10)

@@ -44,7 +44,7 @@ def raw_sales(t: Warehouse) -> DataFrame:
     """Sales lines as landed: all strings, with the faults a real export has (see FIXTURES B1)."""
     # the order heads meet their customer first, so the lines are shuffled by order key only once
     heads = (
-        t("orders")
+        t.spread("orders", "o_orderkey")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_shards, chat_template, line_dedup, piece_codec, secret_ledger, simhash_groups
+from tallyloom.llm import byte_shards, chat_template, cross_polytope, line_dedup, piece_codec, secret_ledger, simhash_groups
 from tallyloom.llm.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.digests(chat_template.formatted(rows.unionByName(own)))
 
 
+@register("op4_cross_polytope")
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every 20th vector."""
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id % 20 = 0", 20)
+
+
 @register("op6_simhash_groups")
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints are linked at four bits or fewer."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, line_dedup, piece_codec, secret_ledger, simhash_groups
+from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, line_dedup, piece_codec, quality_ordinal, secret_ledger, simhash_groups
 from tallyloom.llm.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,26 @@ def _spans_sql(kind: str, pattern: str, group: int, least: int) -> str:
 _ORDER = "CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 WHEN 'pem' THEN 3 ELSE 4 END"
 
 
+GRADES = 3
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings out of the labels: 0 is junk, 1 sound but toxic, 2 good."""
+    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).alias("grade"))
+
+
+@register("op1_quality_ordinal")
+def op1_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and the decision for every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_ordinal.learn(docs, ratings(spark, sf_dir), GRADES)
+    rated = quality_ordinal.graded(docs, model)
+    return rated.select(
+        "doc_id", "expected_grade", F.get("tails", 0).alias("p_sound"), F.get("tails", 1).alias("p_good"),
+        (F.get("tails", 1) >= quality_ordinal.LEAST).alias("keep"),
+    )
+
+
 @register("op2_secret_ledger", f"""
   WITH s AS ({" UNION ALL ".join(_spans_sql(r.kind, r.pattern, r.group, r.least) for r in secret_ledger.RULES)}),
   per AS (

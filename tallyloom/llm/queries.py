@@ -8,18 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, line_dedup, piece_codec, quality_ordinal, secret_ledger, simhash_groups
+from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, licence_scan, line_dedup, piece_codec, quality_ordinal, secret_ledger, simhash_groups
 from tallyloom.llm.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | Callable[[], str] | None = None):
     def keep(query):
         QUERIES[name] = query
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql if isinstance(sql, str) else sql()
         return query
 
     return keep
@@ -112,6 +112,52 @@ def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id % 20 = 0", 20)
 
 
+def _licence_sql() -> str:
+    """The same in DuckDB, every line against every template."""
+    templates = ", ".join(f"({i}, '{t.licence}', '{t.text}')" for i, t in enumerate(licence_scan.TEMPLATES))
+    word = licence_scan.WORD
+    return f"""
+  WITH f AS (SELECT doc_id, text, CASE WHEN lang = 'en' THEN source ELSE source || '/' || lang END AS dir,
+      len(string_split(text, ' ')) <= {LICENCE_WORDS} AS is_file FROM documents),
+  cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit FROM f
+    UNION ALL SELECT doc_id, text, -1 FROM f WHERE is_file),
+  u AS (SELECT doc_id, unit, regexp_extract_all(lower(line), '{word}') AS words FROM cut WHERE len(regexp_extract_all(lower(line), '{word}')) > 0),
+  n AS (SELECT count(*) AS n FROM u),
+  t AS (SELECT template, licence, word, count(*) AS tf FROM (SELECT *, unnest(regexp_extract_all(lower(body), '{word}')) AS word FROM (VALUES {templates}) v(template, licence, body)) GROUP BY ALL),
+  w AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(words) AS word FROM u) GROUP BY ALL),
+  idf AS (SELECT v.word, ln((1.0 + n.n) / (1 + count(w.word))) + 1 AS idf FROM (SELECT DISTINCT word FROM t) v CROSS JOIN n LEFT JOIN w ON w.word = v.word GROUP BY v.word, n.n),
+  tw AS (SELECT template, licence, t.word, t.tf * idf / sqrt(sum((t.tf * idf) ** 2) OVER (PARTITION BY template)) AS x FROM t JOIN idf USING (word)),
+  uw AS (SELECT doc_id, unit, w.word, w.tf * coalesce(idf, ln(1.0 + n.n) + 1) AS x, idf IS NOT NULL AS known FROM w CROSS JOIN n LEFT JOIN idf USING (word)),
+  size AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS size FROM uw GROUP BY ALL),
+  hit AS (SELECT doc_id, unit, licence, round(dot / size, 9) AS similarity FROM (
+      SELECT doc_id, unit, template, licence, sum(uw.x * tw.x) AS dot FROM uw JOIN tw USING (word) GROUP BY ALL) JOIN size USING (doc_id, unit) WHERE round(dot / size, 9) >= {licence_scan.THRESHOLD}),
+  own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, licence, unit) AS r FROM hit) WHERE r = 1),
+  path AS (SELECT *, dir || '/' || CASE WHEN is_file THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM f),
+  d AS (SELECT * FROM (SELECT dir, licence, path, row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) AS r FROM own JOIN path USING (doc_id) WHERE is_file) WHERE r = 1)
+  SELECT p.doc_id, p.path, coalesce(own.licence, a.licence, b.licence) AS licence,
+    CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN coalesce(a.licence, b.licence) IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+    CASE WHEN own.licence IS NOT NULL THEN p.path ELSE coalesce(a.path, b.path) END AS source
+  FROM path p LEFT JOIN own USING (doc_id) LEFT JOIN d a ON a.dir = p.dir LEFT JOIN d b ON b.dir = string_split(p.dir, '/')[1]"""
+
+
+LICENCE_WORDS = 100  # documents up to this length stand for licence files if they state a licence
+
+
+@register("op5_licence_scan", _licence_sql)
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, in a tree of directories made of source and language.
+
+    English documents lie in their source's directory, others in the directory of their language below it; short ones
+    are named like licence files.
+    """
+    docs = table(spark, sf_dir, "documents")
+    folder = F.when(F.col("lang") == "en", F.col("source")).otherwise(F.concat_ws("/", "source", "lang"))
+    name = F.when(F.size(F.split("text", " ")) <= LICENCE_WORDS, F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    files = docs.select("text", F.concat_ws("/", folder, name).alias("path"))
+    found = licence_scan.licences(files)
+    return found.select(F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long").alias("doc_id"), "path", "licence", "basis", "source")
+
+
 @register("op6_simhash_groups")
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints are linked at four bits or fewer."""

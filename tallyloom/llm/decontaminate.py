@@ -7,6 +7,7 @@ shingle similarity of window and item decides.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -147,22 +148,26 @@ SHAPE = "doc_id long, item_id long, start_word int, n_words int, distance int, s
 _TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of ``ITEMS_AT_ONCE`` items in the order of their ids."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
+    items = ((r["item_id"], r["text"]) for r in rows.toLocalIterator())
+    while block := list(itertools.islice(items, ITEMS_AT_ONCE)):
+        yield block
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): each item found in a document, in its best window.
 
     Similarity is the weighted Jaccard of five-word shingles, a shingle's weight being its number of occurrences. A
     document shorter than the item is one window. Items and documents of fewer than five words, null and empty texts
-    match nothing; item rows with one id count each; repeated document rows come back each. The benchmark is read in
-    blocks of ``ITEMS_AT_ONCE`` items in the order of their ids; each block is broadcast and takes one pass over the
-    documents, so neither the driver nor a worker holds more than a block.
+    match nothing; item rows with one id count each; repeated document rows come back each. Each block of the benchmark
+    is broadcast and takes one pass over the documents, so neither the driver nor a worker holds more than a block.
     """
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text")
     found: DataFrame | None = None
-    block: list[tuple[int, str]] = []
 
     def search(items: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(items)
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ready = Items(sent.value)
@@ -176,14 +181,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         for one in ready.search(shingles(text))
                     ]
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], [f.split()[0] for f in SHAPE.split(", ")])
+                        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SHAPE.split(", ")])
 
         return docs.select("doc_id", "text").mapInArrow(scan, SHAPE)
 
-    for row in rows.toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        if len(block) == ITEMS_AT_ONCE:
-            found, block = (search(block) if found is None else found.unionByName(search(block))), []
-    if block:
+    for block in _blocks(benchmark):
         found = search(block) if found is None else found.unionByName(search(block))
-    return found if found is not None else spark.createDataFrame([], SHAPE)
+    return found if found is not None else docs.sparkSession.createDataFrame([], SHAPE)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents in which no item is found; rows and columns stay as they are."""
+
+    def sieve(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready = Items(sent.value)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(begin, SLICE)
+                    yield part.filter(pa.array([not (t and ready.search(shingles(t))) for t in part["text"].to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(choose, docs.schema)
+
+    for block in _blocks(benchmark):
+        docs = sieve(docs, block)
+    return docs

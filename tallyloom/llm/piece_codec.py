@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -232,8 +233,8 @@ class PieceCodec:
             self.words[segment] = word
         return word
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids (end id included), SHA-256 of the ids and SHA-256 of the decoded text."""
+    def joined(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids (end id included), the ids joined by a blank, and the text they decode to."""
         known, make = self.words.get, self._word
         rows = []
         for segment in self.segments(text or ""):
@@ -243,9 +244,15 @@ class PieceCodec:
                 known = self.words.get
             rows.append(word)
         ids, counts, texts = zip(*rows) if rows else ((), (), ())
-        joined = " ".join([*ids, str(self.end)])
-        decoded = "".join(texts).removeprefix(" ")
-        return sum(counts) + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        return sum(counts) + 1, " ".join([*ids, str(self.end)]), "".join(texts).removeprefix(" ")
+
+    @staticmethod
+    def hashed(row: tuple[int, str, str]) -> tuple[int, str, str]:
+        return row[0], hashlib.sha256(row[1].encode()).hexdigest(), hashlib.sha256(row[2].encode("utf-8", "surrogatepass")).hexdigest()
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids (end id included), SHA-256 of the ids and SHA-256 of the decoded text."""
+        return self.hashed(self.joined(text))
 
 
 _codecs: dict[bytes, PieceCodec] = {}
@@ -283,17 +290,21 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the ids and the text they decode to, for writing token files."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the same with the ids themselves, for writing token files."""
     model = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model.value)
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE):
-                ids = [one.encode(t or "") for t in batch["text"].slice(begin, SLICE).to_pylist()]
+                part = batch.slice(begin, SLICE)
+                rows = [one.joined(t) for t in part["text"].to_pylist()]
+                ids = pa.array([np.array(r[1].split(" "), np.int32) for r in rows], pa.list_(pa.int32()))
+                digests = [one.hashed(r) for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(begin, SLICE).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([one.decode(i) for i in ids], pa.string())],
-                    ["doc_id", "ids", "decoded"],
+                    [part["doc_id"].cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), ids]
+                    + [pa.array([d[k] for d in digests], pa.string()) for k in (1, 2)],
+                    ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -55,7 +55,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def _mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     """Another 64 bits of each hash."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(turn + 1)
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -227,3 +227,13 @@ def groups(docs: DataFrame, printer=contract_print, radius: int = 4, least: int
     roots = components(edges)
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", "proof", F.coalesce("component", "rep").alias("component_id"))
     return stamped.join(named, ["fp", "proof"]).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, printer=contract_print, radius: int = 4, least: int | None = None, apart: int | None = None) -> DataFrame:
+    """The documents without those whose group has a smaller id; columns stay as they are.
+
+    Rows of one doc_id are one document and stay or go together; rows without an id are not compared and stay.
+    """
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    gone = groups(known, printer, radius, least, apart).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -161,15 +161,14 @@ def _(m: Marts):
 @case("src12_append_ledger", "SELECT ts, action, proposal_key, payload FROM audit_ledger")
 def _(m: Marts):
     log = tables.AppendLog(m.spark, scratch_path(m.spark, "ledger"))
-    log.append(wh.audit_ledger(m.tables).withColumn("payload", F.substring("payload", 1, fv.PAYLOAD_CHARS)))
+    log.append(wh.audit_ledger(m.tables))
     return log.read().select("ts", "action", "proposal_key", "payload")
 
 
 @case("src13_table_from_query", f"SELECT sale_date, {d('net_revenue')} FROM daily_revenue")
 def _(m: Marts):
     name = "tl_daily_" + scratch_path(m.spark, "t").rsplit("-", 1)[1]
-    m.daily_revenue.select("sale_date", "net_revenue").write.option("path", scratch_path(m.spark, "ctas")).saveAsTable(name)
-    return m.spark.table(name)
+    return tables.table_from_query(m.daily_revenue.select("sale_date", "net_revenue"), name, scratch_path(m.spark, "ctas"))
 
 
 @case("src14_defensive_scan", "SELECT message_id, CAST(NULL AS VARCHAR) AS harvested_note FROM telemetry")
@@ -218,8 +217,8 @@ def _(m: Marts):
 
 @case(
     "adm03_repeated_failures",
-    "SELECT left(statement_text, 120) AS statement_fingerprint, executed_by, count(*) AS failures, max(start_time) AS last_seen FROM query_history "
-    "WHERE execution_status = 'FAILED' AND start_time >= TIMESTAMP '2001-08-01' - INTERVAL 2000 DAYS GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 20",
+    "SELECT sha256(trim(regexp_replace(lower(statement_text), '\\s+', ' ', 'g'))) AS statement_fingerprint, min(left(statement_text, 120)) AS statement_label, executed_by, count(*) AS failures, max(start_time) AS last_seen FROM query_history "
+    "WHERE execution_status = 'FAILED' AND start_time >= TIMESTAMP '2001-08-01' - INTERVAL 2000 DAYS GROUP BY 1, 3 HAVING count(*) >= 2 ORDER BY 4 DESC, 1, 3 LIMIT 20",
 )
 def _(m: Marts):
     return monitoring.repeated_failures(wh.query_history(m.tables), NOW, days=2000)

@@ -24,12 +24,14 @@ def cases_of(subject: str, values: list[str], default: str) -> str:
 
 
 CTES["telemetry"] = f"""
-SELECT CAST(conv_id AS VARCHAR) AS conversation_id, conv_id || '-' || turn AS message_id, 'u' || (conv_id % 7) AS user_id,
-  {cases_of('conv_id % 5', wh.DOMAIN_ROLES, "'unknown'")} AS role, {cases_of('(conv_id + turn) % 12', wh.QUESTION_FORMS, 'text')} AS content,
+SELECT CAST(conv_id AS VARCHAR) AS conversation_id, conv_id || '-' || turn || mark AS message_id, 'u' || (conv_id % 7) AS user_id,
+  {cases_of('conv_id % 5', wh.DOMAIN_ROLES, "'unknown'")} AS role, content,
   CASE WHEN (conv_id + turn) % 12 = 5 THEN '{wh.QUESTION_SQL}' ELSE '' END AS sql_text,
   CASE WHEN (conv_id + turn) % 12 = 5 THEN 'POSITIVE' WHEN (conv_id + turn) % 12 IN (3,4,6,7,9) THEN 'NEGATIVE' ELSE '' END AS feedback_rating,
   CAST(1767225600 + conv_id * 3600 + turn * 60 AS DOUBLE) AS ts, conv_id * 60 + turn AS n
-FROM conversations WHERE role = 'user'"""
+FROM (SELECT conv_id, turn, '' AS mark, text AS content FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, '-f', {cases_of('(conv_id + turn) % 12', wh.QUESTION_FORMS, 'NULL')} FROM conversations
+    WHERE role = 'user' AND (conv_id + turn) % 12 < {len(wh.QUESTION_FORMS)})"""
 
 PARSE = (
     r"""'[''"]?([\p{L}\p{N}_ %/&-]{2,60}?)[''"]?\s+(?:means|refers to|maps to|is on|is in|should use|should map to)\s+"""
@@ -52,7 +54,7 @@ SELECT term, entity, round(CASE WHEN users < 2 THEN 0.5 ELSE 1 END * (1 - exp(-r
   SELECT term, entity, sum(CAST({WEIGHT} AS DOUBLE) * pow(0.5, greatest(0.0, {NOW} - ts) / 604800)) AS raw, count(DISTINCT user_id) AS users, count(*) AS evidence_count
   FROM corrections GROUP BY 1, 2)"""
 CTES["conflicts"] = """
-SELECT term, list_sort(list(DISTINCT entity)) AS entities FROM corrections GROUP BY term HAVING count(DISTINCT entity) > 1"""
+SELECT term, list(entity ORDER BY n DESC, entity) AS entities FROM (SELECT term, entity, count(*) AS n FROM corrections GROUP BY 1, 2) GROUP BY term HAVING count(*) > 1"""
 CTES["part_proposals"] = """
 SELECT p_name || ' ' || p_partkey AS term, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'fact_sales.' WHEN 2 THEN 'gold.`fact_sales`.' ELSE 'main.gold.fact_sales.' END || 'c' || p_size AS entity,
   round((p_partkey % 100) / 100.0::DOUBLE, 2) AS confidence, CAST(p_size % 5 AS BIGINT) AS distinct_users, CAST(p_size % 9 + 1 AS BIGINT) AS evidence_count,
@@ -142,9 +144,9 @@ KEYWORD = "CASE " + " ".join(f"WHEN contains(lower(content), '{k}') THEN '{t}'"
 @case(
     "tel06_failed_question_corrections",
     CORR.format(
-        "'benchmark_eval'", "'bench:run1'",
-        f"(SELECT term, entity, 'data_scientist' AS role, CAST({NOW} AS DOUBLE) AS ts FROM ("
-        + parsed("filed", "1 AS one", f"(SELECT {KEYWORD} AS filed FROM telemetry WHERE {KEYWORD} IS NOT NULL)") + "))",
+        "'benchmark_eval'", "'bench:run1:' || sha256(question)",
+        f"(SELECT term, entity, question, 'data_scientist' AS role, CAST({NOW} AS DOUBLE) AS ts FROM ("
+        + parsed("filed", "question", f"(SELECT content AS question, {KEYWORD} AS filed FROM telemetry WHERE {KEYWORD} IS NOT NULL)") + "))",
     ),
 )
 def _(m: Marts):
@@ -265,9 +267,13 @@ def _(m: Marts):
     return drift.evidence(corrections_of(m))
 
 
-@case("drf03_conflicts", "SELECT term, array_to_string(entities, ',') AS entities FROM conflicts")
+@case(
+    "drf03_conflicts",
+    "SELECT term, entity, count(*) AS reports, (SELECT len(entities) FROM conflicts f WHERE f.term = c.term) AS entities FROM corrections c "
+    "WHERE term IN (SELECT term FROM conflicts) GROUP BY 1, 2",
+)
 def _(m: Marts):
-    return drift.conflicts(corrections_of(m)).withColumn("entities", F.array_join("entities", ","))
+    return drift.conflicts(corrections_of(m))
 
 
 BASE_WEIGHT = "CASE role " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in fv.ROLE_WEIGHTS.items()) + " ELSE 0.5 END"
@@ -325,7 +331,7 @@ def _(m: Marts):
     "SELECT a.action, fq_table || '.' || column_name AS target, lower(term) || '→' || lower(entity) AS proposal_key, CASE a.action "
     "WHEN 'uc_comment' THEN 'COMMENT ON COLUMN ' || fq_table || '.' || column_name || ' IS ''Learned synonym: ''''' || replace(term, '''', '''''') || '''''.''' "
     "WHEN 'uc_tag' THEN 'ALTER TABLE ' || fq_table || ' ALTER COLUMN ' || column_name || ' SET TAGS (''learned_synonym'' = ''' || replace(term, '''', '') || ''')' "
-    f"ELSE term END AS payload, 'approved' AS status, 'auto' AS approver FROM resolved_parts, (VALUES ('uc_comment'), ('uc_tag'), ('space_update')) a(action) WHERE {GATE} AND column_name IS NOT NULL",
+    f"ELSE term END AS payload, left(payload, 1000) AS payload_label, 'approved' AS status, 'auto' AS approver FROM resolved_parts, (VALUES ('uc_comment'), ('uc_tag'), ('space_update')) a(action) WHERE {GATE} AND column_name IS NOT NULL",
 )
 def _(m: Marts):
     return drift.healing_plan(wh.part_proposals(m.tables), SCHEMA, dry_run=True)
@@ -333,7 +339,7 @@ def _(m: Marts):
 
 CTES["glossary_lines"] = """
 SELECT 'mapping' AS line_kind, term, 'Term ''' || term || ''' means ' || entity || '.' AS text FROM proposals WHERE term NOT IN (SELECT term FROM conflicts)
-UNION ALL SELECT 'ask_first', term, 'Term ''' || term || ''' is ambiguous: ' || array_to_string(entities, ', ') || '. Ask which one is meant before answering.' FROM conflicts"""
+UNION ALL SELECT 'ask_first', term, 'Term ''' || term || ''' is ambiguous: ' || array_to_string(entities[1:10], ', ') || '. Ask which one is meant before answering.' FROM conflicts"""
 
 
 def glossary_of(m: Marts):
@@ -382,7 +388,7 @@ def _(m: Marts):
 
 # ---- synonyms ------------------------------------------------------------------------------------
 
-HELD = "SELECT 'revenue_metrics' AS view, p_type AS name, p_brand AS synonym, min(p_partkey) AS position FROM part WHERE p_brand IN ('Brand#1','Brand#2','Brand#3') GROUP BY 2, 3"
+HELD = "SELECT 'revenue_metrics' AS view, p_type AS name, p_brand AS synonym, min(p_partkey) AS position FROM part GROUP BY 2, 3"
 LEARNED = "SELECT 'revenue_metrics' AS view, p_type AS name, CASE p_size % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN upper(p_name) ELSE p_name END AS synonym, p_partkey AS position FROM part"
 
 
@@ -392,8 +398,8 @@ def synonym_sql(owner: str, fold: str) -> str:
         f"fresh AS (SELECT {owner}, arg_min(synonym, position) AS synonym, min(position) AS position FROM learned "
         f"WHERE (name, {fold.format('synonym')}) NOT IN (SELECT (name, {fold.format('synonym')}) FROM held) GROUP BY {owner}, {fold.format('synonym')}), "
         f"turned AS (SELECT *, row_number() OVER (PARTITION BY {owner} ORDER BY position, synonym) AS turn FROM fresh) "
-        f"SELECT {owner}, synonym, position FROM held UNION ALL "
-        f"SELECT {', '.join('t.' + o.strip() for o in owner.split(','))}, synonym, coalesce(last_pos, 0) + turn FROM turned t LEFT JOIN room r ON t.name = r.name WHERE turn + coalesce(n, 0) <= 10"
+        f"SELECT {owner}, synonym, position, FALSE AS held_back FROM held UNION ALL "
+        f"SELECT {', '.join('t.' + o.strip() for o in owner.split(','))}, synonym, coalesce(last_pos, 0) + turn, turn + coalesce(n, 0) > 10 FROM turned t LEFT JOIN room r ON t.name = r.name"
     )
 
 
@@ -430,8 +436,8 @@ def _(m: Marts):
 # ---- novelty -------------------------------------------------------------------------------------
 
 STOP = quoted(fv.STOPWORDS)
-KNOWN = quoted(novelty.KNOWN)
-GOVERNED = quoted(novelty.GOVERNED_WORDS)
+KNOWN = quoted(fv.KNOWN_TERMS)
+GOVERNED = quoted(fv.GOVERNED_WORDS)
 SINGULAR = "CASE WHEN {0} LIKE '%ies' AND length({0}) > 4 THEN left({0}, length({0}) - 3) || 'y' WHEN {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN left({0}, length({0}) - 1) ELSE {0} END"
 FILLER = "({0} IN (" + STOP + ") OR regexp_full_match({0}, '[0-9]+'))"
 CTES["grams"] = """

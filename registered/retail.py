@@ -433,7 +433,7 @@ def _(m: Marts):
 
 # ---- certified questions -------------------------------------------------------------------------
 
-COUNTRY, FIRST, LAST, QUARTER = "NATION_10", "1998-12-01", "1999-01-01", ("1998-10-01", "1999-01-01")
+COUNTRY, FIRST, LAST, QUARTER = "NATION_10", "1998-12-01", "1999-01-01", ("1995-01-01", "1995-04-01")
 RETAIL = certified.retail(COUNTRY, FIRST, LAST, QUARTER)
 BANK = certified.banking("2026-03-01", "2026-04-01")
 R = "NOT is_return"

@@ -133,7 +133,6 @@ def _(m: Marts):
 
 # ---- features and routes -------------------------------------------------------------------------
 
-SCHEMA_WORDS = router.schema_words(fv.SCHEMA_TERMS)
 ANY = "CAST(len(list_intersect(names, [{0}])) > 0 AS INT)"
 PHRASES = " + ".join("CAST(contains(low, '" + p.replace("'", "''") + "') AS INT)" for p in fv.VAGUE_PHRASES)
 CTES["featured"] = (
@@ -145,7 +144,7 @@ SELECT message_id, content, CAST(len(names) AS DOUBLE) AS token_count, CAST(leng
   CAST("""
     + ANY.format(quoted(fv.METRIC_TERMS))
     + " AS DOUBLE) AS has_metric_term, coalesce(len(list_filter(names, lambda x: x IN ("
-    + quoted(SCHEMA_WORDS)
+    + quoted(fv.SCHEMA_WORDS)
     + r"""))) / nullif(CAST(len(names) AS DOUBLE), 0), 0.0) AS schema_term_overlap,
   CAST("""
     + ANY.format(quoted(fv.WH_WORDS))
@@ -253,7 +252,7 @@ FROM telemetry WHERE trim(content) <> ''"""
 METRIC_LIST = "[" + quoted(sorted(fv.METRIC_VOCABULARY, key=lambda v: (-len(v), v))) + "]"
 WEAK = f"coalesce(list_filter({METRIC_LIST}, lambda v: list_contains(regexp_extract_all(lower(sql_text), '[a-z0-9_]+'), v))[1], 'NONE')"
 CTES["corpus"] = f"""
-SELECT *, 'seed' AS source FROM seed UNION ALL
+SELECT question, kind, label, target_metric, 'seed' AS source FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY kind, label, target_metric) AS rn FROM seed) WHERE rn = 1 UNION ALL
 SELECT question, 'telemetry', outcome, CASE outcome WHEN 'answerable' THEN {WEAK} ELSE 'NONE' END, 'telemetry' FROM (
   SELECT *, row_number() OVER (PARTITION BY question ORDER BY ts, message_id) AS rn FROM harvest WHERE outcome IN ('answerable', 'noise') AND question NOT IN (SELECT question FROM seed)) WHERE rn = 1"""
 

@@ -51,13 +51,6 @@ def singular(word: Column) -> Column:
     )
 
 
-def python_singular(word: str) -> str:
-    """The same rule for the fixed vocabulary, applied once while the plan is built."""
-    if word.endswith("ies") and len(word) > 4:
-        return word[:-3] + "y"
-    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
-
-
 def correction_pairs(value: Column | str) -> Column:
     """Array with the struct(term, entity) of an "X means Y" sentence, empty when the text is not one.
 
@@ -97,21 +90,25 @@ def mapped(key: Column | str, values: dict, default=None) -> Column:
 def whole_word_hits(texts: DataFrame, keep: list[str], text_col: str, phrases: DataFrame, phrase_col: str) -> DataFrame:
     """Rows ``(*keep, phrase)`` for every phrase that occurs in the text as a whole word or words.
 
-    An equi-join on the first word of the phrase finds the candidates and the whole-word test confirms
-    them, so the cost follows the matches and not texts x phrases. The phrase side goes through the
-    size check of the adaptive planner, which broadcasts it when small and shuffles it when not.
+    A phrase is cut at its word edges into words and what stands between them; a text gives every run of as many
+    neighbouring parts, for the numbers of parts that phrases have. The two meet in an equi-join on a digest of the whole
+    run, so a frequent first word is no hot key, nothing but the ids and a digest is carried, and no pattern is run per
+    candidate. The phrase side goes through the size check of the adaptive planner. Phrases that do not start and end
+    with a word character are no words and match nothing.
     """
-    exploded = texts.select(
-        *keep,
-        F.lower(clean_text(text_col)).alias("_text"),
-        F.explode(F.array_distinct(word_tokens(text_col))).alias("_word"),
-    )
+    edge = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"
+
+    def parts(text: Column) -> Column:
+        return F.split(text, edge, -1)
+
     keyed = (
-        phrases.select(F.col(phrase_col).alias("phrase"))
-        .distinct()
-        .withColumn("_low", F.lower("phrase"))
-        .withColumn("_word", F.regexp_extract("_low", r"(?U)\w+", 0))
-        .where(F.col("_word") != "")
+        phrases.select(F.col(phrase_col).alias("phrase")).distinct()
+        .withColumn("_low", F.lower("phrase")).where(F.col("_low").rlike(r"(?U)^\w(.*\w)?$"))
+        .select("phrase", F.size(parts(F.col("_low"))).alias("_n"), F.xxhash64("_low").alias("_digest"))
     )
-    confirmed = F.rlike("_text", F.concat(F.lit(r"(?U)\b\Q"), F.col("_low"), F.lit(r"\E\b")))
-    return exploded.join(keyed, "_word").where(confirmed).select(*keep, "phrase")
+    lengths = keyed.agg(F.collect_set("_n")).scalar()  # as many as phrases have lengths
+    cut = texts.select(*keep, parts(F.lower(clean_text(text_col))).alias("_parts"), F.explode(lengths).alias("_n"))
+    starts = F.when(F.size("_parts") >= F.col("_n"), F.sequence(F.lit(1), F.size("_parts") - F.col("_n") + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("_parts", i, F.col("_n")), "")))
+    exploded = cut.select(*keep, "_n", F.explode(runs).alias("_digest"))
+    return exploded.join(keyed, ["_n", "_digest"]).select(*keep, "phrase").distinct()

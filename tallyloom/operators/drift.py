@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
@@ -57,18 +57,27 @@ def evidence(corrections: DataFrame) -> DataFrame:
 
 
 def conflicts(corrections: DataFrame) -> DataFrame:
-    """Terms with more than one distinct entity. The pairs are made distinct first, so the list per
-    term is bounded by the governed columns a term can name and not by the number of reports."""
-    pairs = corrections.select("term", "entity").distinct()
+    """Rows (term, entity, reports, entities) of terms that stand for more than one entity.
+
+    An entity is any word that a user typed, so they are rows and not a list; the term's number of entities is counted
+    apart and joined back."""
+    pairs = corrections.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("reports"))
+    several = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("entities")).where(F.col("entities") > 1)
+    return pairs.join(several, "term").select("term", "entity", "reports", "entities")
+
+
+def conflict_texts(conflicted: DataFrame, shown: int = fv.CONFLICT_ENTITIES) -> DataFrame:
+    """One row per conflicted term: its number of entities and, for reading, the ``shown`` most reported of them."""
+    turn = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("reports"), "entity"))
     return (
-        pairs.groupBy("term")
-        .agg(F.array_sort(F.collect_list("entity")).alias("entities"))
-        .where(F.size("entities") > 1)
+        conflicted.withColumn("_turn", turn).where(F.col("_turn") <= shown)
+        .groupBy("term", "entities").agg(F.array_sort(F.collect_list(F.struct("_turn", "entity"))).alias("_list"))
+        .select("term", "entities", F.col("_list.entity").alias("top_entities"))
     )
 
 
 def without_conflicts(proposals: DataFrame, conflicted: DataFrame) -> DataFrame:
-    return proposals.join(conflicted.select("term"), "term", "left_anti")
+    return proposals.join(conflicted.select("term").distinct(), "term", "left_anti")
 
 
 def gate(confidence: float = fv.AUTO_APPROVE_CONFIDENCE) -> Column:
@@ -125,21 +134,27 @@ def proposal_key(term: str = "term", entity: str = "entity") -> Column:
     return F.concat(F.lower(term), F.lit("→"), F.lower(entity))
 
 
-def healing_plan(proposals: DataFrame, schema: str, dry_run: bool) -> DataFrame:
+def healing_plan(
+    proposals: DataFrame, schema: str, dry_run: bool, label_chars: int = fv.PAYLOAD_CHARS, tag_chars: int = fv.TAG_CHARS
+) -> DataFrame:
     """One ledger row per approved, resolvable proposal and surface. The statements are rendered as
-    data with quotes escaped; nothing is executed here."""
+    data with quotes escaped; nothing is executed here. ``payload`` is whole; ``payload_label`` is its short form for
+    lists, with a tag of ``tag_chars`` and ``label_chars`` characters in all at most."""
     quoted = F.replace("term", F.lit("'"), F.lit("''"))
-    bare = F.substring(F.replace("term", F.lit("'"), F.lit("")), 1, fv.TAG_CHARS)
+    bare = F.replace("term", F.lit("'"), F.lit(""))
     column = F.concat_ws(".", "fq_table", "column_name")
     note = F.concat(F.lit("COMMENT ON COLUMN "), column, F.lit(" IS 'Learned synonym: ''"), quoted, F.lit("''.'"))
-    label = F.concat(
-        F.lit("ALTER TABLE "), F.col("fq_table"), F.lit(" ALTER COLUMN "), F.col("column_name"),
-        F.lit(" SET TAGS ('learned_synonym' = '"), bare, F.lit("')"),
-    )
+
+    def tag(value: Column) -> Column:
+        return F.concat(
+            F.lit("ALTER TABLE "), F.col("fq_table"), F.lit(" ALTER COLUMN "), F.col("column_name"),
+            F.lit(" SET TAGS ('learned_synonym' = '"), value, F.lit("')"),
+        )
+
     actions = F.array(
-        F.struct(F.lit("uc_comment").alias("action"), note.alias("payload")),
-        F.struct(F.lit("uc_tag").alias("action"), label.alias("payload")),
-        F.struct(F.lit("space_update").alias("action"), F.col("term").alias("payload")),
+        F.struct(F.lit("uc_comment").alias("action"), note.alias("payload"), note.alias("label")),
+        F.struct(F.lit("uc_tag").alias("action"), tag(bare).alias("payload"), tag(F.substring(bare, 1, tag_chars)).alias("label")),
+        F.struct(F.lit("space_update").alias("action"), F.col("term").alias("payload"), F.col("term").alias("label")),
     )
     ready = resolved(proposals, schema).where(gate() & F.col("column_name").isNotNull())
     return ready.select(
@@ -148,7 +163,8 @@ def healing_plan(proposals: DataFrame, schema: str, dry_run: bool) -> DataFrame:
         "a.action",
         "target",
         "proposal_key",
-        F.substring("a.payload", 1, fv.PAYLOAD_CHARS).alias("payload"),
+        "a.payload",
+        F.substring("a.label", 1, label_chars).alias("payload_label"),
         F.lit("approved" if dry_run else "applied").alias("status"),
         F.lit("auto").alias("approver"),
     )
@@ -170,17 +186,18 @@ def pending(proposals: DataFrame) -> DataFrame:
 
 
 def glossary(safe: DataFrame, conflicted: DataFrame) -> DataFrame:
-    """Glossary rows: a mapping line per safe proposal, an ask-first line per conflicted term."""
+    """Glossary rows: a mapping line per safe proposal, an ask-first line per conflicted term, which names its most
+    reported entities."""
     mapping = safe.select(
         F.lit("mapping").alias("line_kind"),
         "term",
         F.concat(F.lit("Term '"), "term", F.lit("' means "), "entity", F.lit(".")).alias("text"),
     )
-    ask = conflicted.select(
+    ask = conflict_texts(conflicted).select(
         F.lit("ask_first").alias("line_kind"),
         "term",
         F.concat(
-            F.lit("Term '"), "term", F.lit("' is ambiguous: "), F.array_join("entities", ", "),
+            F.lit("Term '"), "term", F.lit("' is ambiguous: "), F.array_join("top_entities", ", "),
             F.lit(". Ask which one is meant before answering."),
         ).alias("text"),
     )

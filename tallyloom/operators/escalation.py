@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
-from tallyloom.operators.drift import gate, resolved
+from tallyloom.operators.drift import conflict_texts, gate, resolved
 from tallyloom.sources.tables import guarded_transition, one_per_key
 
 COLUMNS = [
@@ -25,7 +25,7 @@ def build(
     """Three lanes: proposals the gate did not pass (a conflicted term never passes), conflicted terms
     and novel terms. Evidence is JSON with the counts; the single reports stay in the evidence table
     under the same term and entity."""
-    flagged = proposals.join(conflicted.select("term", F.lit(True).alias("_c")), "term", "left")
+    flagged = proposals.join(conflicted.select("term", F.lit(True).alias("_c")).distinct(), "term", "left")
     below = flagged.where(F.col("_c").isNotNull() | ~gate(confidence)).select(
         key_of(fv.KIND_BELOW_GATE).alias("proposal_key"),
         F.lit(fv.KIND_BELOW_GATE).alias("kind"),
@@ -40,16 +40,16 @@ def build(
         ).alias("suggested_action"),
     )
     users = corrections.groupBy("term").agg(F.countDistinct("user").alias("distinct_users"))
-    poison = conflicted.join(users, "term", "left").select(
+    poison = conflict_texts(conflicted).join(users, "term", "left").select(
         key_of(fv.KIND_POISON).alias("proposal_key"),
         F.lit(fv.KIND_POISON).alias("kind"),
         "term",
         F.lit(None).cast("string").alias("entity"),
         F.lit(0.0).alias("confidence"),
         F.coalesce("distinct_users", F.lit(0)).alias("distinct_users"),
-        F.to_json(F.struct("entities")).alias("evidence"),
+        F.to_json(F.struct("entities", "top_entities")).alias("evidence"),
         F.concat(
-            F.lit("write an ask-first rule for '"), "term", F.lit("': "), F.array_join("entities", ", ")
+            F.lit("write an ask-first rule for '"), "term", F.lit("': "), F.array_join("top_entities", ", ")
         ).alias("suggested_action"),
     )
     fresh = novel.select(
@@ -129,7 +129,7 @@ def application_ledger(applied: DataFrame, at) -> DataFrame:
         F.col("kind").alias("action"),
         F.coalesce("entity", "term").alias("target"),
         "proposal_key",
-        F.substring("payload", 1, fv.PAYLOAD_CHARS).alias("payload"),
+        "payload",
         F.lit("applied").alias("status"),
         F.coalesce("decided_by", F.lit("reviewer")).alias("approver"),
     )

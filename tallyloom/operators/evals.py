@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,9 +151,12 @@ def compare_answers(candidate: DataFrame, golden: DataFrame) -> DataFrame:
     diff = signed.groupBy(*shared).agg(F.sum("_s").alias("_s"))
     extra = F.coalesce(F.sum(F.when(F.col("_s") > 0, F.col("_s"))), F.lit(0))
     absent = F.coalesce(F.sum(F.when(F.col("_s") < 0, -F.col("_s"))), F.lit(0))
-    one_cell = reduce(lambda a, b: a + b, [(F.count_distinct(c) > 1).cast("int") for c in shared])
-    odd_rows = diff.where(F.col("_s") != 0).agg(
-        extra.alias("extra_rows"), absent.alias("missing_rows"), one_cell.alias("_changed_columns")
+    # with one row on each side the largest is that row; NULL is a value like any other
+    one, other = (F.max(F.when(side, F.struct(*shared))) for side in (F.col("_s") > 0, F.col("_s") < 0))
+    odd_rows = (
+        diff.where(F.col("_s") != 0)
+        .agg(extra.alias("extra_rows"), absent.alias("missing_rows"), one.alias("_one"), other.alias("_other"))
+        .withColumn("_changed_columns", reduce(add, [(~F.equal_null(f"_one.{c}", f"_other.{c}")).cast("int") for c in shared]))
     )
     reason = (
         F.when(F.lit(bool(missing)), "missing columns")

@@ -131,7 +131,8 @@ def query(
 def merge_synonyms(
     existing: DataFrame, learned: DataFrame, owner: list[str], fold_case: bool = True, cap: int = fv.MAX_SYNONYMS
 ) -> DataFrame:
-    """Existing synonyms stay, learned ones follow in order while the owner has room.
+    """Existing synonyms stay, learned ones follow in order while the owner has room (``cap`` synonyms); the learned
+    ones beyond it come back with ``held_back``, numbered on.
 
     Both inputs have ``(*owner, synonym, position)``. Learned spellings that repeat an existing or an
     earlier learned one are left out; with ``fold_case`` the comparison ignores case.
@@ -147,16 +148,16 @@ def merge_synonyms(
         .join(old.select(*key), key, "left_anti")
         .select(*owner, F.col("_first.position").alias("position"), F.col("_first.synonym").alias("synonym"))
     )
-    # the constant bound lets each task keep only its first rows per owner before the shuffle
     turn = F.row_number().over(Window.partitionBy(*owner).orderBy("position", "synonym"))
     fitted = (
         fresh.withColumn("_turn", turn)
-        .where(F.col("_turn") <= cap)
         .join(room, owner, "left")
-        .where(F.col("_turn") + F.coalesce("_held", F.lit(0)) <= cap)
-        .select(*owner, "synonym", (F.coalesce("_last", F.lit(0)) + F.col("_turn")).alias("position"))
+        .select(
+            *owner, "synonym", (F.coalesce("_last", F.lit(0)) + F.col("_turn")).alias("position"),
+            (F.col("_turn") + F.coalesce("_held", F.lit(0)) > cap).alias("held_back"),
+        )
     )
-    return existing.select(*owner, "synonym", "position").unionByName(fitted)
+    return existing.select(*owner, "synonym", "position", F.lit(False).alias("held_back")).unionByName(fitted)
 
 
 def resolve_synonyms(questions: DataFrame, synonyms: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import percent, ratio
 
-PREVIEW, FINGERPRINT = 200, 120
+PREVIEW, LABEL = 200, 120
 
 
 def at(now: str) -> Column:
@@ -48,12 +48,15 @@ def slowest(history: DataFrame, now: str, n: int = 20) -> DataFrame:
     )
 
 
-def repeated_failures(history: DataFrame, now: str, days: int = 7, at_least: int = 2, n: int = 20) -> DataFrame:
+def repeated_failures(history: DataFrame, now: str, days: int = 7, at_least: int = 2, n: int = 20, label: int = LABEL) -> DataFrame:
+    """Failures by user and whole statement, compared in lower case with white space runs as one blank. The label shows
+    the first ``label`` characters."""
+    whole = F.trim(F.regexp_replace(F.lower("statement_text"), r"\s+", " "))
     return (
         recent(history, now, days)
         .where(F.col("execution_status") == "FAILED")
-        .groupBy(F.left("statement_text", F.lit(FINGERPRINT)).alias("statement_fingerprint"), "executed_by")
-        .agg(F.count(F.lit(1)).alias("failures"), F.max("start_time").alias("last_seen"))
+        .groupBy(F.sha2(whole, 256).alias("statement_fingerprint"), "executed_by")
+        .agg(F.min(F.left("statement_text", F.lit(label))).alias("statement_label"), F.count(F.lit(1)).alias("failures"), F.max("start_time").alias("last_seen"))
         .where(F.col("failures") >= at_least)
         .orderBy(F.desc("failures"), "statement_fingerprint", "executed_by")
         .limit(n)

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
-from tallyloom.functions.text import clean_text, is_correction, plain_tokens, python_singular, singular
-
-KNOWN = sorted({t.lower().replace("_", " ").replace("-", " ").strip() for t in fv.KNOWN_VOCABULARY})
-GOVERNED_WORDS = sorted({python_singular(t) for t in KNOWN if " " not in t})
+from tallyloom.functions.text import clean_text, is_correction, plain_tokens, singular
 
 
 def is_filler(word: str) -> Column:
@@ -21,20 +18,16 @@ def candidate_terms(rows: DataFrame, text_col: str) -> DataFrame:
     and are not governed vocabulary. The lists are hash-set tests on the exploded words."""
     t = plain_tokens(text_col)
     followers = F.slice(t, F.lit(2), F.greatest(F.size(t), F.lit(1)))
-    # the last word has no follower: zip_with pads it with NULL and the filter below drops it
-    pairs = F.zip_with(t, followers, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    singles = F.transform(t, lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
-    grams = F.array_distinct(F.concat(singles, F.filter(pairs, lambda p: p["b"].isNotNull())))
-    exploded = rows.select("*", F.explode(grams).alias("_g")).select("*", F.col("_g.a").alias("_a"), F.col("_g.b").alias("_b"))
-    term = F.concat_ws(" ", "_a", "_b")
-    governed_a = singular(F.col("_a")).isin(GOVERNED_WORDS)
-    governed_b = F.col("_b").isNull() | singular(F.col("_b")).isin(GOVERNED_WORDS)
+    # the last word has no follower: zip_with pads it with NULL, concat makes NULL of the pair. Grams are strings, which
+    # a hash set makes distinct; structs would be compared pair by pair
+    pairs = F.zip_with(t, followers, lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.array_distinct(F.concat(t, F.array_compact(pairs)))
+    exploded = rows.select("*", F.explode(grams).alias("term"))
+    split = exploded.withColumns({"_a": F.substring_index("term", " ", 1), "_b": F.when(F.contains("term", F.lit(" ")), F.substring_index("term", " ", -1))})
+    governed_a = singular(F.col("_a")).isin(fv.GOVERNED_WORDS)
+    governed_b = F.col("_b").isNull() | singular(F.col("_b")).isin(fv.GOVERNED_WORDS)
     content = ~is_filler("_a") & (F.col("_b").isNull() | ~is_filler("_b"))
-    return (
-        exploded.where(content & ~(governed_a & governed_b) & ~term.isin(KNOWN))
-        .withColumn("term", term)
-        .drop("_g", "_a", "_b")
-    )
+    return split.where(content & ~(governed_a & governed_b) & ~F.col("term").isin(fv.KNOWN_TERMS)).drop("_a", "_b")
 
 
 def is_negative(rows: DataFrame, ratings: list[str]) -> Column:
@@ -91,18 +84,16 @@ def novel_terms(rows: DataFrame, text_col: str, user_col: str, min_occurrences:
 
 
 def example_questions(rows: DataFrame, text_col: str, order: list[str], n: int = 3) -> DataFrame:
-    """Up to n distinct example questions per term in order of arrival. Repeats are combined first and
-    the first n per term are cut in every task before the shuffle."""
+    """Up to n distinct example questions per term in order of arrival.
+
+    Each question is brought to one row with its first arrival and a digest; the terms carry digests alone, the first
+    n per term are cut in every task before the shuffle, and the texts are fetched for what is left."""
     arrival = F.struct(*order)
-    firsts = (
-        candidate_terms(rows.select(text_col, *order), text_col)
-        .groupBy("term", F.col(text_col).alias("question"))
-        .agg(F.min(arrival).alias("_first"))
-    )
-    turn = F.row_number().over(Window.partitionBy("term").orderBy("_first", "question"))
+    asked = rows.groupBy(F.col(text_col).alias("question")).agg(F.min(arrival).alias("_first")).withColumn("_digest", F.sha2(clean_text("question"), 256))
+    turn = F.row_number().over(Window.partitionBy("term").orderBy("_first", "_digest"))
+    firsts = candidate_terms(asked, "question").select("term", "_first", "_digest").withColumn("_turn", turn).where(F.col("_turn") <= n)
     return (
-        firsts.withColumn("_turn", turn)
-        .where(F.col("_turn") <= n)
+        firsts.join(asked.select("_digest", "question"), "_digest")
         .groupBy("term")
         .agg(F.sort_array(F.collect_list(F.struct("_turn", "question"))).alias("_q"))
         .select("term", F.col("_q.question").alias("example_questions"))

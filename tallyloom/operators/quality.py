@@ -63,12 +63,12 @@ def quarantined_rows(tagged: DataFrame) -> DataFrame:
 
 
 def without_copies(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row per key. Other columns keep their smallest value, so the survivor is deterministic;
-    copies are combined before the shuffle, however many there are."""
+    """One row per key: the smallest by its other columns in their order, a row as it was. Copies are combined before
+    the shuffle, however many there are."""
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.dropDuplicates(key)
-    return df.groupBy(*key).agg(*[F.min(c).alias(c) for c in rest]).select(*df.columns)
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_first")).select(*key, "_first.*").select(*df.columns)
 
 
 def expectation_counts(df: DataFrame, rules: Rules) -> DataFrame:

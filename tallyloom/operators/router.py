@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,21 +19,13 @@ FEATURES = [
 ]
 
 
-def schema_words(terms: list[str]) -> list[str]:
-    """Schema names and their word parts: ``net_revenue`` also gives ``net`` and ``revenue``."""
-    out = {t.lower() for t in terms}
-    for t in terms:
-        out |= {part for part in re.split(r"[^a-z0-9]+", t.lower()) if part}
-    return sorted(out)
-
-
-def with_features(questions: DataFrame, text_col: str = "question", schema_terms: list[str] | None = None) -> DataFrame:
-    """Nine features per question, all built-in expressions."""
+def with_features(questions: DataFrame, text_col: str = "question", schema_words: list[str] | None = None) -> DataFrame:
+    """Nine features per question, all built-in expressions. ``schema_words``: names of the schema and their parts."""
     text = clean_text(text_col)
     low = F.lower(text)
     names = name_tokens(text_col)
     n = F.size(names)
-    known = count_in(names, schema_words(schema_terms or fv.SCHEMA_TERMS))
+    known = count_in(names, schema_words or fv.SCHEMA_WORDS)
     phrases = sum((low.contains(p).cast("int") for p in fv.VAGUE_PHRASES), F.lit(0))
     flags = {
         "token_count": n,
@@ -164,15 +155,18 @@ def corpus(seed: DataFrame, messages: DataFrame) -> DataFrame:
             F.lit("telemetry").alias("source"),
         )
     )
-    start = seed.select("question", "kind", "label", "target_metric", F.lit("seed").alias("source"))
+    order = [F.col("kind"), F.col("label"), F.col("target_metric")]
+    start = one_per_key(seed, ["question"], order).select("question", "kind", "label", "target_metric", F.lit("seed").alias("source"))
     return start.unionByName(grown)
 
 
 def harvest_counts(seed: DataFrame, messages: DataFrame) -> DataFrame:
-    """How many messages each rule took or skipped."""
-    flagged = harvest(messages).join(seed.select("question", F.lit(True).alias("_s")), "question", "left")
+    """How many messages each rule took or skipped. Messages are counted by question and rule before they meet
+    the seed, so a question that everybody asks is one row of the join."""
+    counted = harvest(messages).groupBy("question", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    flagged = counted.join(seed.select("question").distinct().withColumn("_s", F.lit(True)), "question", "left")
     outcome = F.when(F.col("_s"), "duplicate_of_seed").otherwise(F.col("outcome"))
-    return flagged.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("messages"))
+    return flagged.groupBy(outcome.alias("outcome")).agg(F.sum("n").alias("messages"))
 
 
 def corpus_summary(rows: DataFrame) -> DataFrame:

@@ -93,7 +93,8 @@ def manifest_corrections(judged_rows: DataFrame) -> DataFrame:
 
 def failed_question_corrections(failures: DataFrame, run_id: str, now: float) -> DataFrame:
     """The correction an expert would file for a failed question: the first keyword of the priority
-    list that the question contains. The list is fixed, so it is an expression and not a join."""
+    list that the question contains. The list is fixed, so it is an expression and not a join. The message id names
+    run and question, so that a merge keeps one correction for each question."""
     low = F.lower("question")
     text: Column = F.coalesce(*[F.when(low.contains(k), F.lit(t)) for k, t in fv.KEYWORD_CORRECTIONS])
     return corrections(
@@ -102,7 +103,7 @@ def failed_question_corrections(failures: DataFrame, run_id: str, now: float) ->
             F.lit("benchmark_eval").alias("user_id"),
             F.lit("data_scientist").alias("role"),
             F.lit(now).alias("ts"),
-            F.lit(f"bench:{run_id}").alias("message_id"),
+            F.concat(F.lit(f"bench:{run_id}:"), F.sha2("question", 256)).alias("message_id"),
         )
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import drift, escalation, novelty, telemetry
-from tallyloom.sources.tables import AppendLog, SnapshotTable, insert_only, update_only, upsert
+from tallyloom.sources.tables import AppendLog, SnapshotTable, insert_only, row_id, update_only, upsert
 
 CORRECTIONS = "term STRING, entity STRING, `user` STRING, role STRING, ts DOUBLE, source_message_id STRING"
 PROPOSALS = (
@@ -35,6 +35,11 @@ class LearningLoop:
         self.queue = SnapshotTable(self.spark, f"{self.root}/queue", QUEUE)
         self.ledger = AppendLog(self.spark, f"{self.root}/ledger")
 
+    def _record(self, rows: DataFrame) -> None:
+        """Ledger rows are told apart by what was done to what, so a step that is run again adds none."""
+        done = rows.withColumn("ledger_id", row_id("action", "target", "proposal_key", "payload", "status", "approver"))
+        self.ledger.append_unseen(done, "ledger_id")
+
     def harvest(self, messages: DataFrame) -> DataFrame:
         batch = telemetry.mergeable(telemetry.corrections(messages))
         order = [F.col("ts"), F.col("term"), F.col("entity")]
@@ -49,7 +54,7 @@ class LearningLoop:
         conflicted = drift.conflicts(self.corrections.read())
         safe = drift.without_conflicts(drift.pending(self.proposals.read()), conflicted)
         plan = drift.healing_plan(safe, self.schema, dry_run)
-        self.ledger.append(plan.withColumn("ts", F.lit(at).cast("timestamp")))
+        self._record(plan.withColumn("ts", F.lit(at).cast("timestamp")))
         done = drift.resolved(safe, self.schema).where(drift.gate() & F.col("column_name").isNotNull())
         moves = done.select("term", "entity", F.lit("approved" if dry_run else "applied").alias("status"))
         return self.proposals.change(lambda old: update_only(old, moves, ["term", "entity"]))
@@ -77,5 +82,5 @@ class LearningLoop:
 
     def apply(self, at: str) -> DataFrame:
         applied = escalation.applications(self.queue.read(), self.schema)
-        self.ledger.append(escalation.application_ledger(applied, at))
+        self._record(escalation.application_ledger(applied, at))
         return self.queue.change(lambda old: escalation.mark_applied(old, applied))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_scratch: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,20 +27,21 @@ def build_session(app: str = "tallyloom", master: str | None = None, extra: dict
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for written intermediates: the one the cluster names in ``spark.checkpoint.dir``.
+    """This application's folder for written intermediates, deleted when the application ends.
 
-    Only a local master may fall back to a folder of its own; on a cluster a machine-local path would
-    be invisible to the other executors, so a missing setting is an error there.
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``, or, where that is unset, beside the
+    tables of the warehouse; both are shared by all executors.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-    return _own_scratch[app]
+    if app not in _scratch:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        root = f"{base.rstrip('/')}/scratch-{app}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _scratch[app] = root
+    return _scratch[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

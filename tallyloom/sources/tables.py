@@ -1,41 +1,48 @@
 """Table writes without a table format that knows MERGE: versioned snapshots and append-only logs.
 
-A mutable table is a folder of complete versions. A change reads the current version, writes the next
-one and is visible once Spark has committed it (``_SUCCESS``); a reader always sees one whole version,
-and a job that dies half-way leaves no trace for readers.
+A mutable table is a folder of complete versions. A change writes the next version into a fresh folder and publishes it
+by a commit record; a reader always sees one whole version, and a job that dies half-way leaves a folder that nobody
+reads and the next change does not meet. Two changes of one version cannot both commit.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has published a version since this one read the table."""
+
+
 class SnapshotTable:
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
 
-    def _folder(self, version: int) -> str:
-        return f"{self.root}/version={version:08d}"
+    def _place(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        """Committed versions, oldest first. This lists folders, not data."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
+        """Published versions, oldest first. This lists commit records, not data."""
+        path, files = self._place()
+        if not files.exists(path):
             return []
-        found = []
-        for status in files.listStatus(root):
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            name = status.getPath().getName()
-            if name.startswith("version=") and files.exists(done):
-                found.append(int(name.split("=")[1]))
-        return sorted(found)
+        names = [status.getPath().getName() for status in files.listStatus(path)]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("commit="))
+
+    def _folder(self, version: int) -> str:
+        path, files = self._place(f"commit={version:08d}")
+        record = files.open(path)
+        try:
+            return f"{self.root}/{record.readUTF()}"
+        finally:
+            record.close()
 
     def read(self, version: int | None = None) -> DataFrame:
         known = self.versions()
@@ -43,14 +50,26 @@ class SnapshotTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.parquet(self._folder(known[-1] if version is None else version))
 
-    def publish(self, df: DataFrame) -> int:
-        """Write the next version; also how a full rebuild replaces rows and schema."""
-        version = (self.versions() or [0])[-1] + 1
-        df.write.parquet(self._folder(version))
+    def publish(self, df: DataFrame, base: int | None = None) -> int:
+        """Write the version after ``base`` (the latest unless named); also how a full rebuild replaces rows and
+        schema. The commit record is created only if no other writer has created it."""
+        version = ((self.versions() or [0])[-1] if base is None else base) + 1
+        name = f"data-{version:08d}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}")
+        path, files = self._place(f"commit={version:08d}")
+        if files.exists(path):
+            raise ConcurrentChange(f"version {version} of {self.root} was published by another writer")
+        try:
+            record = files.create(path, False)
+        except Exception as error:  # created between the two calls
+            raise ConcurrentChange(f"version {version} of {self.root} was published by another writer") from error
+        record.writeUTF(name)
+        record.close()
         return version
 
     def change(self, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        self.publish(step(self.read()))
+        base = (self.versions() or [0])[-1]
+        self.publish(step(self.read(base or None)), base)
         return self.read()
 
     def restore(self, version: int) -> int:
@@ -64,13 +83,27 @@ class AppendLog:
         self.spark = spark
         self.path = path
 
+    def exists(self) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
     def append(self, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path)
 
+    def append_unseen(self, df: DataFrame, key: str) -> None:
+        """Append the rows whose key the log does not hold yet, once each: a retry adds nothing."""
+        fresh = df.dropDuplicates([key])
+        self.append(fresh.join(self.read().select(key), key, "left_anti").select(*df.columns) if self.exists() else fresh)
+
     def read(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
 
+def row_id(*columns: str) -> Column:
+    """A digest of the named columns, NULL and its neighbours told apart."""
+    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])), 256)
+
+
 # ---- merges: pure functions of (old rows, new rows) ----------------------------------------------
 
 
@@ -135,3 +168,10 @@ def with_columns_of(spark: SparkSession, table: str, wanted: dict[str, str]) ->
         return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in wanted.items()))
     df = spark.table(table)
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()])
+
+
+def table_from_query(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """CREATE OR REPLACE TABLE name AS the query; with a path as an external table there."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)

@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-SMALL_TABLE_BYTES = 256 * 1024 * 1024
-
-
 class Warehouse:
     """Named parquet tables of one folder."""
 
@@ -23,14 +20,6 @@ class Warehouse:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A driving table. A small one may be a single row group, which is a single task however many
-        cores there are; below the bound its rows are dealt out to all of them by their join key. A table
-        above the bound has row groups enough and is read as it is, without the extra shuffle."""
-        df = self(name)
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        return df.repartition(self.spark.sparkContext.defaultParallelism, key) if size < SMALL_TABLE_BYTES else df
-
 
 def every(key: str, n: int) -> Column:
     return F.col(key) % n == 0
@@ -44,13 +33,13 @@ def raw_sales(t: Warehouse) -> DataFrame:
     """Sales lines as landed: all strings, with the faults a real export has (see FIXTURES B1)."""
     # the order heads meet their customer first, so the lines are shuffled by order key only once
     heads = (
-        t.spread("orders", "o_orderkey")
+        t("orders")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
     base = (
-        t.spread("lineitem", "l_orderkey")
+        t("lineitem")
         .join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     )
@@ -91,7 +80,7 @@ def raw_sales(t: Warehouse) -> DataFrame:
 def flat_events(t: Warehouse) -> DataFrame:
     """Clean click events: one row per event, version 1 field names, timestamps in UTC seconds."""
     ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
-    return t.spread("events", "event_id").select(
+    return t("events").select(
         F.concat(F.lit("e"), text_of("event_id")).alias("event_id"),
         F.concat(F.lit("s"), text_of("user_id"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"),
         F.concat(F.lit("v"), text_of("user_id")).alias("visitor_id"),
@@ -128,17 +117,23 @@ def pick(values: list, index: Column, default: Column) -> Column:
 
 
 def telemetry(t: Warehouse) -> DataFrame:
-    """One row per user message: question or correction text, generated SQL, rating, epoch seconds."""
+    """User messages: question or correction text, generated SQL, rating, epoch seconds.
+
+    Each user turn is a row with its own text; eleven of twelve have a row more, a fixed sentence of the domain.
+    """
     form = (F.col("conv_id") + F.col("turn")) % 12
+    said = F.struct(F.lit("").alias("mark"), F.col("text").alias("content"))
+    fixed = F.struct(F.lit("-f").alias("mark"), pick(QUESTION_FORMS, form, F.lit(None)).alias("content"))
     return (
         t("conversations")
         .where(F.col("role") == "user")
+        .select("conv_id", "turn", F.inline(F.when(form < len(QUESTION_FORMS), F.array(said, fixed)).otherwise(F.array(said))))
         .select(
             text_of("conv_id").alias("conversation_id"),
-            F.concat_ws("-", text_of("conv_id"), text_of("turn")).alias("message_id"),
+            F.concat(text_of("conv_id"), F.lit("-"), text_of("turn"), "mark").alias("message_id"),
             F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("user_id"),
             pick(DOMAIN_ROLES, F.col("conv_id") % 5, F.lit("unknown")).alias("role"),
-            pick(QUESTION_FORMS, form, F.col("text")).alias("content"),
+            "content",
             F.when(form == 5, QUESTION_SQL).otherwise("").alias("sql"),
             F.when(form == 5, "POSITIVE")
             .when(form.isin(3, 4, 6, 7, 9), "NEGATIVE")
@@ -345,10 +340,9 @@ def part_proposals(t: Warehouse) -> DataFrame:
 
 
 def held_synonyms(t: Warehouse) -> DataFrame:
-    """Synonyms a view already has: a few brands per part type."""
+    """Synonyms a view already has: the brands of each part type."""
     return (
         t("part")
-        .where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3"))
         .groupBy(F.lit("revenue_metrics").alias("view"), F.col("p_type").alias("name"), F.col("p_brand").alias("synonym"))
         .agg(F.min("p_partkey").alias("position"))
     )

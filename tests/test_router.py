@@ -9,7 +9,7 @@ TERMS = ["net_revenue", "sessions", "country"]
 
 def features(spark, text):
     df = spark.createDataFrame([(text,)], "question STRING")
-    return router.heuristic_route(router.with_features(df, schema_terms=TERMS)).first()
+    return router.heuristic_route(router.with_features(df, schema_words=TERMS)).first()
 
 
 def test_feature_values(spark):

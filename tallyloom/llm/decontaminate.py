@@ -102,7 +102,10 @@ class Items:
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Places of shingles that some item has."""
         places = np.flatnonzero(self.table[(hashes >> np.uint64(44)).astype(np.int64)])
-        return places[np.isin(hashes[places], self.known)] if len(places) else places
+        if not len(places):
+            return places
+        found = np.searchsorted(self.known, hashes[places])
+        return places[self.known[np.minimum(found, len(self.known) - 1)] == hashes[places]]
 
     def search(self, hashes: np.ndarray) -> list[tuple[int, int, int, int, float]]:
         """(item_id, start, words, distance, similarity) of the best window for each item found.

@@ -180,12 +180,12 @@ def _(m: Marts):
     return tables.with_columns_of(m.spark, name, wanted).unionByName(absent)
 
 
-@case("str01_stream_dedup")
+@case("str01_stream_dedup", "SELECT event_id, session_id, event_type, event_ts FROM silver_events")
 def _(m: Marts):
     folder, out, mark = (scratch_path(m.spark, n) for n in ("feed", "dedup", "mark"))
     m.event_lines.write.text(folder)
-    landed, _ = dedup.run_dedup(m.spark, folder, out, mark)
-    return landed.select("event_id", "session_id", "event_type", "event_ts")
+    kept = dedup.run_dedup(m.spark, folder, out, mark)
+    return dedup.settled_events(kept, dedup.settle(m.spark.read.text(folder), kept))
 
 
 # ---- monitoring ----------------------------------------------------------------------------------

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import (
+    IDF, CountVectorizer, CountVectorizerModel, IDFModel, NGram, RegexTokenizer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
+)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.router import FEATURES, stratified_split
 from tallyloom.session import write_and_read
 
 SEED = 42
-VOCABULARY = 1 << 16  # bound of the model's own size, not of the data it is trained on
 
 
 def balanced(rows: DataFrame, label: str) -> DataFrame:
@@ -48,33 +52,48 @@ def with_terms(rows: DataFrame) -> DataFrame:
     return out.withColumn("terms", F.concat("words", "pairs")).drop("words", "pairs")
 
 
-def damped(counts: str) -> Column:
-    return array_to_vector(F.transform(vector_to_array(counts), lambda v: F.when(v > 0, 1 + F.log(v)).otherwise(0.0)))
-
-
 class TextFeatures:
-    """Word 1-2-gram counts, damped to 1 + ln(tf) and weighted by IDF, next to the nine features. The
-    damping is one expression between two Spark ML stages."""
+    """Word 1-2-gram counts, damped to 1 + ln(tf) and weighted by IDF, next to the nine features.
 
-    def __init__(self, vocabulary_size: int = VOCABULARY):
-        self.counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary_size)
-        self.idf = IDF(inputCol="damped", outputCol="tfidf")
-        self.assembler = VectorAssembler(inputCols=["tfidf", *FEATURES], outputCol="features")
+    Every gram of the training rows has a column, however many there are: the vocabulary's size is counted first and
+    given to the counter. Vectors stay sparse: 1 + ln(tf) is taken of the counts that are there, and nothing as long as the
+    vocabulary is built for a row.
+    """
 
     def fit(self, featured: DataFrame) -> TextFeatures:
         terms = with_terms(featured)
-        self.counts_model = self.counter.fit(terms)
-        counted = self.counts_model.transform(terms).withColumn("damped", damped("tf"))
-        self.idf_model = self.idf.fit(counted)
+        size = terms.select(F.explode("terms").alias("t")).agg(F.countDistinct("t")).first()[0]
+        self.counts_model = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max(1, size), minDF=1.0).fit(terms)
+        self.idf_model = IDF(inputCol="damped", outputCol="tfidf").fit(self._damped(terms))
         return self
 
+    def _damped(self, terms: DataFrame) -> DataFrame:
+        counted = self.counts_model.transform(terms)
+        return counted.withColumn("damped", damped_vector("tf"))
+
     def transform(self, featured: DataFrame) -> DataFrame:
-        counted = self.counts_model.transform(with_terms(featured)).withColumn("damped", damped("tf"))
-        return self.assembler.transform(self.idf_model.transform(counted)).drop("terms", "tf", "damped", "tfidf")
+        assembler = VectorAssembler(inputCols=["tfidf", *FEATURES], outputCol="features")
+        return assembler.transform(self.idf_model.transform(self._damped(with_terms(featured)))).drop("terms", "tf", "damped", "tfidf")
 
     def names(self) -> list[str]:
         return [f"term:{t}" for t in self.counts_model.vocabulary] + [f"feature:{f}" for f in FEATURES]
 
+    def save(self, path: str) -> None:
+        self.counts_model.write().overwrite().save(f"{path}/counts")
+        self.idf_model.write().overwrite().save(f"{path}/idf")
+
+    @classmethod
+    def load(cls, path: str) -> TextFeatures:
+        out = cls()
+        out.counts_model, out.idf_model = CountVectorizerModel.load(f"{path}/counts"), IDFModel.load(f"{path}/idf")
+        return out
+
+
+@F.pandas_udf(VectorUDT())
+def damped_vector(counts: pd.DataFrame) -> pd.DataFrame:
+    """1 + ln of the filled entries of sparse vectors (their parts come as columns); the others stay unfilled."""
+    return counts.assign(values=counts["values"].map(lambda v: 1 + np.log(v)))
+
 
 class Head:
     """One classifier over the text features."""
@@ -93,6 +112,17 @@ class Head:
         self.model = kind.fit(indexed)
         return self
 
+    def save(self, path: str) -> None:
+        self.index.write().overwrite().save(f"{path}/index")
+        self.model.write().overwrite().save(f"{path}/model")
+
+    @classmethod
+    def load(cls, path: str, label: str, trees: bool = False) -> Head:
+        out = cls(label, trees)
+        out.index = StringIndexerModel.load(f"{path}/index")
+        out.model = (GBTClassificationModel if trees else LogisticRegressionModel).load(f"{path}/model")
+        return out
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``predicted`` and ``metrics`` (array of struct(name, p) over the classes)."""
         classes = list(self.index.labels)

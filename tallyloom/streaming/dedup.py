@@ -1,4 +1,4 @@
-"""Event dedup as a stream with a bound on lateness."""
+"""Event dedup as a stream with a bound on its state, and a batch pass that makes the result whole."""
 
 from __future__ import annotations
 
@@ -10,22 +10,23 @@ from tallyloom.operators import clickstream
 from tallyloom.operators.quality import clean_rows
 from tallyloom.streaming.ingest import event_stream
 
+COLUMNS = ["event_id", "session_id", "event_type", "event_ts"]
+
 
 def deduplicated(lines: DataFrame, accept_v3: bool = False, bound_hours: int = fv.LATE_BOUND_HOURS) -> DataFrame:
     """Clean events, one per id among those that arrive within the bound. The state holds an id only
     until the watermark passes it, so it is bounded by the traffic of the bound and not by history.
-    Events later than the bound are dropped by the stream and counted in its progress
-    (``numRowsDroppedByWatermark``); the batch path keeps them."""
+    Events later than the bound do not get through here; ``settle`` finds them in what has landed."""
     events = clean_rows(clickstream.tagged_events(lines, accept_v3)).withColumn(
         "event_ts", F.col("event_ts").try_cast("timestamp")
     )
     return events.withWatermark("event_ts", f"{bound_hours} hours").dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_dedup(spark: SparkSession, folder: str, out: str, checkpoint: str) -> tuple[DataFrame, int]:
-    """Process what has arrived; returns the table and the number of rows beyond the bound."""
+def run_dedup(spark: SparkSession, folder: str, out: str, checkpoint: str, bound_hours: int = fv.LATE_BOUND_HOURS) -> DataFrame:
+    """Process what has arrived since the last run; returns the table of kept events."""
     query = (
-        deduplicated(event_stream(spark, folder))
+        deduplicated(event_stream(spark, folder), bound_hours=bound_hours)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
@@ -34,7 +35,27 @@ def run_dedup(spark: SparkSession, folder: str, out: str, checkpoint: str) -> tu
         .start()
     )
     query.awaitTermination()
-    late = sum(
-        op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"]
+    return spark.read.parquet(out)
+
+
+def settle(landed_lines: DataFrame, kept: DataFrame, accept_v3: bool = False) -> DataFrame:
+    """Rows to add or to replace so that the stream's table equals the batch result, with ``settled_as``: ``late`` for
+    events that came after the bound, ``replaced`` where another copy than the first to arrive is the one to keep.
+
+    One anti join of the batch dedup of everything landed against the kept rows, by id and digest of the row.
+    """
+    whole = clickstream.silver_events(clickstream.tagged_events(landed_lines, accept_v3))
+    digest = F.xxhash64(*COLUMNS)
+    known = kept.select("event_id", digest.alias("_kept"))
+    return (
+        whole.withColumn("_now", digest).join(known, "event_id", "left")
+        .where(F.col("_kept").isNull() | (F.col("_kept") != F.col("_now")))
+        .withColumn("settled_as", F.when(F.col("_kept").isNull(), "late").otherwise("replaced"))
+        .drop("_kept", "_now")
     )
-    return spark.read.parquet(out), late
+
+
+def settled_events(kept: DataFrame, settled: DataFrame) -> DataFrame:
+    """The stream's events with the settled rows put in: the same rows as the batch dedup."""
+    rest = kept.select(*COLUMNS).join(settled.where("settled_as = 'replaced'").select("event_id"), "event_id", "left_anti")
+    return rest.unionByName(settled.select(*COLUMNS))

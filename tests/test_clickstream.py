@@ -88,8 +88,28 @@ def test_stream_equals_batch(spark):
     marts = Marts(tables)
     folder, out, mark = (scratch_path(spark, n) for n in ("feed", "out", "mark"))
     marts.event_lines.write.text(folder)
-    landed, late = dedup.run_dedup(spark, folder, out, mark)
-    assert late == 0
+    landed = dedup.run_dedup(spark, folder, out, mark)
+    assert dedup.settle(spark.read.text(folder), landed).where("settled_as = 'late'").count() == 0
     assert sorted(rows(landed.select("event_id", "event_type"))) == sorted(rows(marts.silver_events.select("event_id", "event_type")))
-    again, _ = dedup.run_dedup(spark, folder, out, mark)  # nothing new arrived
+    again = dedup.run_dedup(spark, folder, out, mark)  # nothing new arrived
     assert again.count() == landed.count()
+
+
+def test_late_events_and_later_copies_are_settled(spark):
+    def line(event, session, ts):
+        return json.dumps({"event_id": event, "session_id": session, "visitor_id": "v", "event_type": "view", "stock_code": "1", "event_ts": ts, "referrer": "direct"})
+
+    folder, out, mark = (scratch_path(spark, n) for n in ("feed", "out", "mark"))
+    arrivals = [
+        [line("a", "s1", "2026-01-10T00:00:00Z"), line("b", "s2", "2026-01-10T00:00:00Z")],
+        [line("c", "s3", "2026-01-20T00:00:00Z")],
+        [line("d", "s4", "2026-01-01T00:00:00Z"), line("c", "s0", "2026-01-19T23:00:00Z")],  # d is beyond the bound, c has an earlier copy
+    ]
+    for lines in arrivals:
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(folder)
+        kept = dedup.run_dedup(spark, folder, out, mark, bound_hours=72)
+    landed = spark.read.text(folder)
+    settled = dedup.settle(landed, kept)
+    assert {r.event_id: r.settled_as for r in settled.collect()} == {"d": "late", "c": "replaced"}
+    batch = clickstream.silver_events(clickstream.tagged_events(landed))
+    assert sorted(rows(dedup.settled_events(kept, settled))) == sorted(rows(batch.select(*dedup.COLUMNS)))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators import drift, escalation, novelty, telemetry
+from tallyloom.operators import drift, escalation, evals, novelty, telemetry
 from tallyloom.sources.tables import AppendLog, SnapshotTable, insert_only, row_id, update_only, upsert
 
 CORRECTIONS = "term STRING, entity STRING, `user` STRING, role STRING, ts DOUBLE, source_message_id STRING"
@@ -59,6 +59,19 @@ class LearningLoop:
         moves = done.select("term", "entity", F.lit("approved" if dry_run else "applied").alias("status"))
         return self.proposals.change(lambda old: update_only(old, moves, ["term", "entity"]))
 
+    def evaluate(self, scores: DataFrame, baseline: str, changed: str, before: int, at: str) -> str:
+        """Compare two benchmark runs; where the gate trips, the proposals of version ``before`` are restored. The
+        verdict goes to the ledger. Running it again on the same runs changes nothing."""
+        verdict = evals.lift(scores, baseline, changed).first()["verdict"]
+        undone = verdict == "ROLLBACK"
+        entry = [("evaluation_gate", "proposals", f"{baseline}>{changed}", f"version {before}", "rolled_back" if undone else "kept", "auto")]
+        row = self.spark.createDataFrame(entry, "action STRING, target STRING, proposal_key STRING, payload STRING, status STRING, approver STRING")
+        known = self.ledger.read().where(F.col("proposal_key") == f"{baseline}>{changed}") if self.ledger.exists() else None
+        if undone and (known is None or known.isEmpty()):
+            self.proposals.restore(before)
+        self._record(row.withColumn("ts", F.lit(at).cast("timestamp")))
+        return verdict
+
     def escalate(self, messages: DataFrame, now: float, at: str) -> DataFrame:
         mined = self.corrections.read()
         failed = novelty.failed_questions(messages, "content", ["feedback_rating"])

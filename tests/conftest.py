@@ -12,13 +12,14 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    scratch = tmp_path_factory.mktemp("shared")
     session = build_session(
         app="tests",
         master="local[8]",
         extra={
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-            "spark.driver.memory": "8g",
+            "spark.driver.memory": "8g", "spark.checkpoint.dir": f"file://{scratch}",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import evals, models, router
 
-TERMS = ["net_revenue", "sessions", "country"]
+TERMS = ["net_revenue", "net", "revenue", "country", "sale_date", "sale", "date"]
 
 
 def features(spark, text):

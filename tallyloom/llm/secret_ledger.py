@@ -155,8 +155,7 @@ def masked(text: Column, rule: Rule, mask: str = "[SECRET]") -> Column:
 def redact(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The versions with their secrets masked, rule after rule; rows and columns stay as they are, whatever their names."""
     packed = versions.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
-    clean = F.col("text")
-    for rule in rules:
-        clean = masked(clean, rule)
-    found = findings(packed, ledger, rules)
-    return found.select(F.col("row").withField(f"`{text}`", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).alias("row")).select("row.*")
+    found = findings(packed, ledger, rules).withColumn("clean", F.col("text"))
+    for rule in rules:  # a step each: nested in one expression, the text would be written out many times over
+        found = found.withColumn("clean", masked(F.col("clean"), rule))
+    return found.select(F.col("row").withField(f"`{text}`", F.when(F.size("spans") > 0, F.col("clean")).otherwise(F.col("text"))).alias("row")).select("row.*")

@@ -116,14 +116,15 @@ def _cuts(base: float, gaps: np.ndarray) -> np.ndarray:
     return base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def _chosen(ready: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int, rate: float, lasso: float, most: int) -> np.ndarray:
+def _chosen(examples: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int, rate: float, lasso: float, most: int) -> np.ndarray:
     """Features with a clear tendency: those that follow-the-regularised-leader steps with an L1 penalty keep."""
     tendency, squares = np.zeros(1 << BITS), np.zeros(1 << BITS)
     base, gaps, seen = 0.0, np.zeros(max(0, grades - 2)), np.full(grades - 1, 1e-2)
     order = np.random.default_rng(5)
     for _ in range(epochs):
-        for e in order.permutation(len(ready)):
-            grade, at, value = ready[e]
+        for e in order.permutation(len(examples)):
+            grade, tokens, own = examples[e]
+            at, value = np.unique(np.concatenate([tokens, own]), return_counts=True)
             z, n = tendency[at], squares[at]
             weights = np.sign(z) * np.minimum(0.0, lasso - np.abs(z)) / ((1.0 + np.sqrt(n)) / rate)
             slope, by_cut = _slopes(np.array([float(weights @ value)]), np.array([grade]), _cuts(base, gaps))
@@ -151,12 +152,8 @@ def fit(
     ``examples``: (grade, token features, text features). A token feature counts 1/sqrt(number of token features) for
     each distinct token that has it, a text feature 1. Thresholds are kept in order by fitting the logarithms of their distances.
     """
-    ready = []
-    for grade, places, own in examples:
-        at, count = np.unique(np.concatenate([places, own]).astype(np.int64), return_counts=True)
-        ready.append((grade, at.astype(np.int32), count.astype(np.float32)))
-    chosen = _chosen(ready, grades, epochs, rate, lasso, most)
-    table = np.zeros((len(ready), len(chosen)), np.float32)
+    chosen = _chosen(examples, grades, epochs, rate, lasso, most)
+    table = np.zeros((len(examples), len(chosen)), np.float32)
     column = np.full(1 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen), dtype=np.int32)
     for row, (_, places, own) in zip(table, examples, strict=True):
@@ -165,14 +162,14 @@ def fit(
             np.add.at(row, at[at >= 0], np.float32(value))
     scale = np.maximum(np.sqrt((table**2).mean(axis=0)), 1e-3)
     table /= scale
-    grade = np.array([g for g, _, _ in ready])
+    grade = np.array([g for g, _, _ in examples])
     point = np.zeros(len(chosen) + grades - 1)  # scaled weights, lowest threshold, logarithms of the distances
     mean, power = np.zeros_like(point), np.zeros_like(point)
     for t in range(1, rounds + 1):
         weights, base, gaps = point[: len(chosen)], point[len(chosen)], point[len(chosen) + 1 :]
         slope, by_cut = _slopes((table @ weights.astype(np.float32)).astype(np.float64), grade, _cuts(base, gaps))
         tail = np.cumsum(by_cut[::-1])[::-1]
-        up = np.concatenate([(slope.astype(np.float32) @ table) / len(ready) - ridge * weights, [tail[0] / len(ready)], tail[1:] * np.exp(gaps) / len(ready)])
+        up = np.concatenate([(slope.astype(np.float32) @ table) / len(examples) - ridge * weights, [tail[0] / len(examples)], tail[1:] * np.exp(gaps) / len(examples)])
         mean, power = 0.9 * mean + 0.1 * up, 0.999 * power + 0.001 * up * up
         point = point + 0.05 * (mean / (1 - 0.9**t)) / (np.sqrt(power / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << BITS)
@@ -205,11 +202,13 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
 
     rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
     shape = f"doc_id {rated.schema['doc_id'].dataType.simpleString()}, grade int, tokens array<int>, texts array<int>"
-    found = rated.mapInArrow(extract, shape).toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    examples = [
-        (grade, tokens.values.to_numpy(), texts.values.to_numpy())
-        for grade, tokens, texts in zip(found["grade"].to_pylist(), found["tokens"], found["texts"], strict=True)
+    found = rated.mapInArrow(extract, shape).toArrow().combine_chunks()
+    ids, grade = found["doc_id"].to_numpy(), found["grade"].to_numpy()
+    flat = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (found[n].combine_chunks() for n in ("tokens", "texts"))]
+    examples = [  # views of the columns
+        (int(grade[e]), *(values[offsets[e] : offsets[e + 1]] for values, offsets in flat)) for e in np.lexsort((grade, ids))
     ]
+    pa.default_memory_pool().release_unused()
     return fit(examples, grades) if examples else OrdinalModel(np.zeros(1 << BITS), np.arange(grades - 1) - (grades - 2) / 2)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.plans.marts import Marts
-from tallyloom.session import SETTINGS
+from tallyloom.session import SETTINGS, ship_package
 from tallyloom.sources.warehouse import Warehouse
 
 CTES: dict[str, str] = {}
@@ -76,6 +76,7 @@ def present(df: DataFrame) -> DataFrame:
 def prepared(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: dict[str, str] = {}
+_shipped: set[str] = set()
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -26,6 +30,23 @@ def build_session(app: str = "tallyloom", master: str | None = None, extra: dict
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, for they need not find it where they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(), "tallyloom.zip")  # read by the driver alone, which serves it to all
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder for written intermediates, deleted when the application ends.
 

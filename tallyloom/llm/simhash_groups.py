@@ -222,7 +222,8 @@ def groups(docs: DataFrame, printer=contract_print, radius: int = 4, least: int
     (null, unless its class has an id). An empty table gives no rows.
     """
     stamped, _ = written(fingerprints(docs, printer), "prints")
-    classes = stamped.groupBy("fp", "proof").agg(F.min("doc_id").alias("rep"))
+    # written, so that the join at the end meets plain rows on both sides and a class with very many copies can be split
+    classes, _ = written(stamped.groupBy("fp", "proof").agg(F.min("doc_id").alias("rep")), "classes")
     edges = links(classes.where("rep is not null"), radius, least, apart)
     roots = components(edges)
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", "proof", F.coalesce("component", "rep").alias("component_id"))

@@ -2,7 +2,8 @@
 
 Fast Hadamard pseudo-rotations turn each unit vector, and the nearest signed axis is its bucket, one for each table.
 A query looks into its nearest axes of every table (multiprobe); what lies there is ranked by the exact inner product
-of the original vectors.
+of the original vectors. Longer vectors reach a large inner product at wider angles: they are kept in bands by length,
+and a longer band is probed wider, the longest compared with every query.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from tallyloom.llm.tables import written
 ROUNDS = 3  # sign flips and Hadamard transforms of one rotation
 BLOCK = 4096  # members of a bucket that one task holds
 AT_ONCE = 256  # queries that are compared with them at once
+EVEN = 1.001  # lengths up to this multiple of the median are one band
+STEP = 1.15  # from one longer band to the next
+ALL = -1  # the turn of what every query is compared with
 
 
 def _hadamard(rows: np.ndarray) -> np.ndarray:
@@ -49,6 +53,21 @@ def axes(rows: np.ndarray, turn: int, seed: int, probes: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
 
+def band_probes(dim: int, probes: int) -> list[int]:
+    """Axes probed of each band below the one that is compared with every query; the first is that of usual lengths.
+
+    ``probes`` is meant for up to 128 axes and grows in proportion to more. A vector of u times the usual length has the
+    same inner product at 1/u of the cosine; probes grow with the square of u.
+    """
+    both = 2 << max(0, dim - 1).bit_length()
+    first = min(both, -(-probes * max(both, 128) // 128))
+    bands, u = [first], EVEN * STEP
+    while first * u * u < both:
+        bands.append(int(np.ceil(first * u * u)))
+        u *= STEP
+    return bands
+
+
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -69,10 +88,11 @@ def nearest(
     Nearest means largest inner product in double precision, ties to the smaller vec_id. Equal vectors are one class:
     of a class only the ``top`` + 1 smallest ids can be in a result, so these are all that is kept of it, however many
     copies there are; every query keeps its own answer. Vectors of another length than the commonest take no part.
-    Where lengths differ between vectors, the missing length is added as one more coordinate for hashing, which turns
-    the largest inner product into the smallest angle. A bucket beyond ``BLOCK`` members is dealt to several tasks,
-    and its queries to each of them; queries stream through in blocks. The classes are sent once for each table and
-    the query classes once for each probe and block. No rows, or no queries, give no rows.
+    Only directions are hashed. Vectors longer than the median are dealt to bands of their own (``band_probes``), those
+    beyond the last band are compared with every query. A bucket beyond ``BLOCK``
+    members is dealt to several tasks, and its queries to each of them; queries stream through in blocks. The classes
+    are sent once for each table and the query classes once for each probe, band and block. No rows, or no queries,
+    give no rows.
     """
     found, v = usable(vectors, key, vector), F.col("v")
     dim = found.select(F.size(v).alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
@@ -88,46 +108,43 @@ def nearest(
     )
     asked, _ = written(found.where(is_query).join(classes.select("v", "rep"), "v").select("vec_id", "rep"), "asked")
     long = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    least, most = classes.agg(F.min(long), F.max(long)).first()
-    lift = most if least is not None and most - least > 1e-3 * most else None
-
-    def placed(n: int, as_query: bool):
+    median, = classes.agg(F.percentile_approx(long, 0.5, 10000)).first()
+    wide = band_probes(dim, probes)
+    band = F.lit(len(wide))  # the band without hashing
+    for b in reversed(range(len(wide))):
+        band = F.when(long <= median * EVEN * STEP**b, b).otherwise(band)
+    banded = classes.select("rep", "v", band.cast("int").alias("band"))
+    present = sorted(r["band"] for r in banded.select("band").distinct().collect())  # a few, whatever the data
+
+    def placed(as_query: bool):
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for begin in range(0, batch.num_rows, 1024):
                     part = batch.slice(begin, 1024)
-                    rows = _matrix(part["v"], dim)
-                    if lift is not None:
-                        rest = np.zeros(len(rows)) if as_query else np.sqrt(np.maximum(0.0, lift**2 - (rows**2).sum(axis=1)))
-                        rows = np.concatenate([rows, rest[:, None]], axis=1)
+                    rows, own = _matrix(part["v"], dim), part["band"].to_numpy()
+                    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # neither overflow nor underflow in the length
                     rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-                    for turn in range(tables):
-                        near = axes(rows, turn, seed, n)
-                        picked = np.repeat(np.arange(part.num_rows), near.shape[1])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(near.size, turn), pa.int32()), pa.array(near.reshape(-1), pa.int32()), part["rep"].take(pa.array(picked)), part["v"].take(pa.array(picked))],
-                            ["turn", "axis", "rep", "v"],
-                        )
+                    for turn in [ALL, *range(tables)]:
+                        for b in present:
+                            if (b == len(wide)) != (turn == ALL):
+                                continue
+                            some = np.arange(part.num_rows) if as_query else np.flatnonzero(own == b)
+                            if not len(some):
+                                continue
+                            near = np.zeros((len(some), 1), int) if turn == ALL else axes(rows[some], turn, seed, wide[b] if as_query else 1)
+                            picked = pa.array(np.repeat(some, near.shape[1]))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(near.size, turn), pa.int32()), pa.array(np.full(near.size, b), pa.int32()), pa.array(near.reshape(-1), pa.int32()), part["rep"].take(picked), part["v"].take(picked)],
+                                ["turn", "band", "axis", "rep", "v"],
+                            )
 
         return place
 
-    shape = "turn int, axis int, rep long, v array<double>"
-    members = classes.select("rep", "v").mapInArrow(placed(1, False), shape)
-    queries = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v").mapInArrow(placed(probes, True), shape)
-    # one row for each bucket: tables times twice the padded dimension, whatever the data
-    blocks = members.groupBy("turn", "axis").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(F.broadcast(blocks), ["turn", "axis"]).select(
-        "turn", "axis", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "rep", "v"
-    )
-    asking = queries.join(F.broadcast(blocks), ["turn", "axis"]).select(
-        "turn", "axis", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "v"
-    )
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, rows = None, [], []
         matrix = names = None
         for batch in batches:
-            buckets = np.stack([batch[c].to_numpy() for c in ("turn", "axis", "block")], axis=1)
+            buckets = np.stack([batch[c].to_numpy() for c in ("turn", "band", "axis", "block")], axis=1)
             asks, reps = batch["asks"].to_numpy(zero_copy_only=False), batch["rep"].to_numpy()
             values = _matrix(batch["v"], dim)
             edges = np.flatnonzero(np.any(buckets[1:] != buckets[:-1], axis=1) | (asks[1:] != asks[:-1])) + 1
@@ -157,18 +174,33 @@ def nearest(
                         [pa.array(np.repeat(own, n)), pa.array(names[best].reshape(-1)), pa.array(score.reshape(-1))], ["asked", "rep", "score"]
                     )
 
-    pairs = (
-        dealt.unionByName(asking).repartition("turn", "axis", "block").sortWithinPartitions("turn", "axis", "block", "asks")
-        .mapInArrow(compare, "asked long, rep long, score double")
-    )
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
-    ranked = pairs.repartition("asked").distinct().withColumn("at", F.row_number().over(best)).where(f"at <= {top + 1}")
-    listed = ranked.join(classes.select("rep", "members"), "rep").select("asked", "score", F.explode("members").alias("vec_id"))
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    listed = listed.withColumn("at", F.row_number().over(best)).where(f"at <= {top + 1}")
-    # a query that is in its own list moves those behind it up by one
-    mine = Window.partitionBy("query_id").orderBy("at")
-    return (
-        asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("asked")).join(listed, "asked").where("query_id <> vec_id")
-        .withColumn("rank", F.row_number().over(mine)).where(f"rank <= {top}").select("query_id", "rank", "vec_id", "score")
-    )
+    def searched(members: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:
+        bucket = ["turn", "band", "axis"]
+        # one row for each bucket: tables times bands times twice the padded dimension, whatever the data
+        blocks = members.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = members.join(F.broadcast(blocks), bucket).select(
+            *bucket, F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), "rep", "v"
+        )
+        asking = queries.join(F.broadcast(blocks), bucket).select(
+            *bucket, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "v"
+        )
+        pairs = (
+            dealt.unionByName(asking).repartition(*bucket, "block").sortWithinPartitions(*bucket, "block", "asks")
+            .mapInArrow(compare, "asked long, rep long, score double")
+        )
+        best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
+        ranked = pairs.repartition("asked").distinct().withColumn("at", F.row_number().over(best)).where(f"at <= {top + 1}")
+        listed = ranked.join(classes.select("rep", "members"), "rep").select("asked", "score", F.explode("members").alias("vec_id"))
+        best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+        listed = listed.withColumn("at", F.row_number().over(best)).where(f"at <= {top + 1}")
+        # a query that is in its own list moves those behind it up by one
+        mine = Window.partitionBy("query_id").orderBy("at")
+        return (
+            asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("asked")).join(listed, "asked").where("query_id <> vec_id")
+            .withColumn("rank", F.row_number().over(mine)).where(f"rank <= {top}").select("query_id", "rank", "vec_id", "score")
+        )
+
+    shape = "turn int, band int, axis int, rep long, v array<double>"
+    members = banded.mapInArrow(placed(False), shape)
+    queries = banded.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v", "band").mapInArrow(placed(True), shape)
+    return searched(members, queries, asked)

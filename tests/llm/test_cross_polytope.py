@@ -63,3 +63,26 @@ def test_small_and_empty_tables(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(0, 2, 3.0), (0, 1, 0.5)]
     assert X.nearest(frame.limit(0), "vec_id % 20 = 0").count() == 0
     assert X.nearest(frame.where("vec_id > 0"), "vec_id % 20 = 0").count() == 0
+
+
+def found_and_wanted(spark, rows, queries="vec_id % 20 = 0"):
+    """For each query the rows that ``nearest`` gives with its own defaults, and those of brute force."""
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: [] for r in frame.where(queries).collect()}
+    for r in sorted(X.nearest(frame, queries).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    ids = np.arange(len(rows))
+    return got, {q: [i for i, _ in exact(ids, rows, q, 20)] for q in got}
+
+
+def test_recall_with_mixed_lengths_and_one_outlier(spark):
+    random = np.random.default_rng(11)
+    unit = random.normal(size=(3000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    mixed, outlier = unit * random.uniform(0.5, 1.5, (3000, 1)), unit.copy()
+    mixed[7] *= 100
+    outlier[7] *= 100
+    for rows in (mixed, outlier):
+        got, want = found_and_wanted(spark, rows)
+        assert all(len(found) == 20 for found in got.values())
+        assert sum(len(set(got[q]) & set(want[q])) for q in got) / (20 * len(got)) >= 0.9

@@ -23,6 +23,7 @@ AT_ONCE = 256  # queries that are compared with them at once
 EVEN = 1.001  # lengths up to this multiple of the median are one band
 STEP = 1.15  # from one longer band to the next
 ALL = -1  # the turn of what every query is compared with
+SMALL = 256  # classes that are compared without hashing
 
 
 def _hadamard(rows: np.ndarray) -> np.ndarray:
@@ -89,7 +90,8 @@ def nearest(
     of a class only the ``top`` + 1 smallest ids can be in a result, so these are all that is kept of it, however many
     copies there are; every query keeps its own answer. Vectors of another length than the commonest take no part.
     Only directions are hashed. Vectors longer than the median are dealt to bands of their own (``band_probes``), those
-    beyond the last band are compared with every query. A bucket beyond ``BLOCK``
+    beyond the last band, and tables of up to ``SMALL`` classes, are compared with every query. A query that gets
+    fewer than ``top`` rows, or all others if they are fewer, is compared with all rows. A bucket beyond ``BLOCK``
     members is dealt to several tasks, and its queries to each of them; queries stream through in blocks. The classes
     are sent once for each table and the query classes once for each probe, band and block. No rows, or no queries,
     give no rows.
@@ -108,8 +110,8 @@ def nearest(
     )
     asked, _ = written(found.where(is_query).join(classes.select("v", "rep"), "v").select("vec_id", "rep"), "asked")
     long = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    median, = classes.agg(F.percentile_approx(long, 0.5, 10000)).first()
-    wide = band_probes(dim, probes)
+    n_classes, n_rows, median = classes.agg(F.count("*"), F.sum(F.size("members")), F.percentile_approx(long, 0.5, 10000)).first()
+    wide = band_probes(dim, probes) if n_classes > SMALL else []
     band = F.lit(len(wide))  # the band without hashing
     for b in reversed(range(len(wide))):
         band = F.when(long <= median * EVEN * STEP**b, b).otherwise(band)
@@ -203,4 +205,11 @@ def nearest(
     shape = "turn int, band int, axis int, rep long, v array<double>"
     members = banded.mapInArrow(placed(False), shape)
     queries = banded.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v", "band").mapInArrow(placed(True), shape)
-    return searched(members, queries, asked)
+    result, _ = written(searched(members, queries, asked), "nearest")
+    full = result.groupBy("query_id").count().where(F.col("count") >= min(top, (n_rows or 1) - 1))
+    short, _ = written(asked.join(full, asked.vec_id == full.query_id, "left_anti"), "short")
+    if short.isEmpty():
+        return result
+    everything = classes.select(F.lit(ALL).alias("turn"), F.lit(0).alias("band"), F.lit(0).alias("axis"), "rep", "v")
+    again = searched(everything, everything.join(short.select("rep").distinct(), "rep", "left_semi").select(everything.columns), short)
+    return result.join(short, result.query_id == short.vec_id, "left_anti").unionByName(again)

@@ -86,3 +86,15 @@ def test_recall_with_mixed_lengths_and_one_outlier(spark):
         got, want = found_and_wanted(spark, rows)
         assert all(len(found) == 20 for found in got.values())
         assert sum(len(set(got[q]) & set(want[q])) for q in got) / (20 * len(got)) >= 0.9
+
+
+def test_every_query_gets_its_rows_with_the_default_parameters(spark):
+    random = np.random.default_rng(12)
+    for n in (15, 30):
+        got, want = found_and_wanted(spark, random.normal(size=(n, 64)), "true")
+        assert got == want
+    # two clusters opposite to each other: the few rows of the smaller one do not find 20 in their own buckets
+    centre = random.normal(size=64)
+    rows = np.concatenate([centre + 0.01 * random.normal(size=(500, 64)), -centre + 0.01 * random.normal(size=(12, 64))])
+    got, want = found_and_wanted(spark, rows, "vec_id >= 500")
+    assert len(got) == 12 and got == want

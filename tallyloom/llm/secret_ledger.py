@@ -35,8 +35,18 @@ BASE_RULES = (
     # a run of 24 and more is what is left of all runs
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24, ()),
 )
+# A private key from its BEGIN line to its END line, however the lines between are quoted, headers among them (their dashes
+# are all that is counted, so that no engine recurses over a long text). Without an END line, or beyond 64 dashes: headers
+# and runs of base64 as long as a key's lines, wherever they are broken, with a last shorter run; or whole lines of base64.
+_GAP, _LINES = r"[\x20\t\r\n]+", r"[A-Za-z0-9+/=\\\r\n]*(?m:$)"
+_RUN = "[A-Za-z0-9+/=]" * 24 + "[A-Za-z0-9+/=]*"  # spelled out: engines limit the product of nested counts
+_HEADERS = r"(?:[\x20\t\r\n]*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n]*){0,16}"
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|{_HEADERS}(?:{_GAP}{_RUN}){{1,300}}(?:{_LINES})?(?:{_GAP}[A-Za-z0-9+/=]+(?m:$))?|{_LINES})?"
+)
 EXTRA_RULES = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("PRIVATE KEY",)),
+    Rule("pem", 2, _KEY, 0, 1, ("PRIVATE KEY",)),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )
 RULES = BASE_RULES + EXTRA_RULES
@@ -153,9 +163,13 @@ def masked(text: Column, rule: Rule, mask: str = "[SECRET]") -> Column:
 
 
 def redact(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The versions with their secrets masked, rule after rule; rows and columns stay as they are, whatever their names."""
+    """The versions with their secrets masked, rule after rule; rows and columns stay as they are, whatever their names.
+
+    Whole keys come first: another rule's mask inside of one, or on its BEGIN line, would hide the rest from its rule.
+    """
     packed = versions.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias("text"))
     found = findings(packed, ledger, rules).withColumn("clean", F.col("text"))
-    for rule in rules:  # a step each: nested in one expression, the text would be written out many times over
+    # a step each: nested in one expression, the text would be written out many times over
+    for rule in sorted(rules, key=lambda r: r.kind != "pem"):
         found = found.withColumn("clean", masked(F.col("clean"), rule))
     return found.select(F.col("row").withField(f"`{text}`", F.when(F.size("spans") > 0, F.col("clean")).otherwise(F.col("text"))).alias("row")).select("row.*")

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"  # stands for a blank inside pieces
 SLICE = 128
-MEMO_WORDS = 150_000  # words remembered by a Python worker, and as many older ones
+MEMO_WORDS = 200_000  # words remembered by a Python worker and those of one more text, and as many older ones
 MEMO_LENGTH = 40
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 800_000
 
 
 class PieceCodec:
@@ -59,16 +59,22 @@ class PieceCodec:
         for s in self.rank.values():
             often[s] = often.get(s, 0) + 1
         # Between pieces of one score the place decides, which pairs alone do not show: runs with two of them are merged.
-        self.tied = {p for p, s in self.rank.items() if often[s] > 1}
+        self.tied = {self.ids[p] for p, s in self.rank.items() if often[s] > 1}
         self.found = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.found.add_word(piece, len(piece))
+        for piece, number in self.ids.items():
+            self.found.add_word(piece, (number, len(piece)))
         self.found.make_automaton()
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # Pieces by number; characters that no piece stands for get the numbers behind the model's as they are met.
+        self.number = dict(self.ids)
+        self.name = list(self.pieces)
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self.plain = [p.replace(SPACE, " ") for p in self.pieces]
+        self.words: dict[str, str] = {}  # decimal ids of a segment
+        self.texts: dict[str, str] = {}  # what they decode to
+        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[str, tuple[list, list] | None] = {}
-        self.shorter: dict[str, str | None] = {}
+        self.shorter: dict[int, int] = {}
         self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
     def merge(self, text: str, trace: dict[str, tuple[str, str]] | None = None) -> list[str]:
@@ -122,14 +128,15 @@ class PieceCodec:
                 self.edges[piece] = tuple(sides)
         return self.edges[piece]
 
-    def _agree(self, left: str, right: str) -> bool:
+    def _agree(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' text gives the two pieces: both are merged again side by side, in the
         order of the ranks, and no merge over the boundary may come first (of equal ranks the leftmost does)."""
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._merge_again(left, right)
+            known = self.pairs[key] = self._merge_again(self.name[left], self.name[right])
         return known
 
     def _merge_again(self, left: str, right: str) -> bool:
@@ -150,37 +157,103 @@ class PieceCodec:
             else:
                 j -= 1
 
-    def _shorter(self, piece: str) -> str | None:
-        """The longest piece in front of this one, or a character of its own that no piece stands for."""
-        if piece not in self.shorter:
-            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.ids), piece[0] if len(piece) > 1 else None)
-        return self.shorter[piece]
+    def _numbered(self, char: str) -> int:
+        """The number of a character; one without a piece is spelled in bytes."""
+        number = self.number.get(char)
+        if number is None:
+            octets = [self.byte_ids[b] for b in char.encode("utf-8")]
+            number = self.number[char] = len(self.name)
+            self.name.append(char)
+            self.decimal.append(" ".join(map(str, octets)))
+            self.plain.append(self._text(octets))
+        return number
+
+    def _shorter(self, number: int) -> int:
+        """The longest piece in front of this one, or a character of its own that no piece stands for; -1: none."""
+        known = self.shorter.get(number)
+        if known is None:
+            piece = self.name[number]
+            front = next((piece[:n] for n in range(len(piece) - 1, 1, -1) if piece[:n] in self.ids), piece[0] if len(piece) > 1 else None)
+            known = self.shorter[number] = -1 if front is None else self._numbered(front)
+        return known
 
     def split(self, text: str) -> list[str]:
         """The pieces of an escaped text."""
-        longest = [1] * len(text)
-        for last, n in self.found.iter(text):
-            longest[last - n + 1] = n  # ends come in order, so the longest comes last
-        failed = bytearray(len(text) + 1)
-        out: list[str] = []
-        at = 0
-        piece = text[: longest[0]] if text else ""
+        return [self.name[n] for n in self.numbers(text)]
+
+    def numbers(self, text: str) -> list[int]:
+        """The numbers of the pieces of an escaped text.
+
+        The longest matches are taken one behind the other until a piece does not agree with the one before it; only
+        from there on are the longest matches at all positions looked up and positions marked as failed.
+        """
+        out: list[int] = []
+        at, agreed = 0, self.pairs.get
+        for last, (number, length) in self.found.iter_long(text):
+            begin = last + 1 - length
+            while at < begin:  # characters without a piece agree with any neighbour that merging makes
+                other = self._numbered(text[at])
+                if out and not self._agree(out[-1], other):
+                    return self._backtracked(text, at, out)
+                out.append(other)
+                at += 1
+            if out:
+                known = agreed(out[-1] << 32 | number)
+                if known is None:
+                    known = self._agree(out[-1], number)
+                if not known:
+                    return self._backtracked(text, at, out)
+            out.append(number)
+            at = last + 1
         while at < len(text):
-            if not failed[at + len(piece)] and (self._agree(out[-1], piece) if out else True):
-                out.append(piece)
-                at += len(piece)
-                if at < len(text):
-                    piece = text[at : at + longest[at]]
-                continue
-            shorter = self._shorter(piece)
-            if shorter is None:
+            other = self._numbered(text[at])
+            if out and not self._agree(out[-1], other):
+                return self._backtracked(text, at, out)
+            out.append(other)
+            at += 1
+        return self._settled(text, out)
+
+    def _backtracked(self, text: str, at: int, out: list[int]) -> list[int]:
+        """The pieces of the text, of which ``out`` are the ones in front of ``at`` that agree so far."""
+        size, name, pairs, shorter = len(text), self.name, self.pairs, self.shorter
+        longest: list[int] = [-1] * size
+        for last, (number, length) in self.found.iter(text):
+            longest[last + 1 - length] = number  # ends come in order, so the longest comes last
+        for i, number in enumerate(longest):
+            if number < 0:
+                longest[i] = self._numbered(text[i])
+        failed = bytearray(size + 1)
+        number = longest[at]
+        while at < size:
+            end = at + len(name[number])
+            if not failed[end]:
+                known = True
+                if out:
+                    known = pairs.get(out[-1] << 32 | number)
+                    if known is None:
+                        known = self._agree(out[-1], number)
+                if known:
+                    out.append(number)
+                    at = end
+                    if at < size:
+                        number = longest[at]
+                    continue
+            less = shorter.get(number)
+            if less is None:
+                less = self._shorter(number)
+            if less < 0:
                 failed[at] = 1
                 if not out:  # no agreeing list: cannot happen with distinct scores
-                    return self.merge(text)
-                shorter = out.pop()  # is refused at once, as it ends at a failed position
-                at -= len(shorter)
-            piece = shorter
-        return self.merge(text) if sum(p in self.tied for p in out) > 1 else out
+                    return [self._numbered(p) for p in self.merge(text)]
+                less = out.pop()  # is refused at once, as it ends at a failed position
+                at -= len(name[less])
+            number = less
+        return self._settled(text, out)
+
+    def _settled(self, text: str, out: list[int]) -> list[int]:
+        if not self.tied.isdisjoint(out) and sum(n in self.tied for n in out) > 1:
+            return [self._numbered(p) for p in self.merge(text)]
+        return out
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
@@ -220,31 +293,35 @@ class PieceCodec:
             out.append(octets.decode("utf-8", "replace"))
         return "".join(out)
 
-    def _word(self, segment: str) -> tuple[str, int, str]:
-        """Decimal ids, their number and what they decode to. A segment starts with a blank or a line break, or
+    def _word(self, segment: str) -> None:
+        """Keep a segment's decimal ids and what they decode to. A segment starts with a blank or a line break, or
         follows one, and a line break is whole bytes, so byte runs never need their neighbours."""
-        word = self.older.get(segment)
-        if word is None:
-            ids = self.ids_of(self.split(segment))
-            word = " ".join(map(str, ids)), len(ids), self._text(ids)
-        if len(segment) <= MEMO_LENGTH:
-            if len(self.words) >= MEMO_WORDS:  # the older half goes
-                self.older, self.words = self.words, {}
-            self.words[segment] = word
-        return word
+        ids, texts = self.older
+        if segment in ids:
+            self.words[segment], self.texts[segment] = ids[segment], texts[segment]
+            return
+        numbers = self.numbers(segment)
+        decimal, plain = self.decimal, self.plain
+        self.words[segment] = " ".join([decimal[n] for n in numbers])
+        self.texts[segment] = "".join([plain[n] for n in numbers])
 
     def joined(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids (end id included), the ids joined by a blank, and the text they decode to."""
-        known, make = self.words.get, self._word
-        rows = []
-        for segment in self.segments(text or ""):
-            word = known(segment)
-            if word is None:
-                word = make(segment)
-                known = self.words.get
-            rows.append(word)
-        ids, counts, texts = zip(*rows) if rows else ((), (), ())
-        return sum(counts) + 1, " ".join([*ids, str(self.end)]), "".join(texts).removeprefix(" ")
+        segments = self.segments(text or "")
+        if not segments:
+            return 1, str(self.end), ""
+        if len(self.words) >= MEMO_WORDS:  # the older half goes
+            self.older, self.words, self.texts = (self.words, self.texts), {}, {}
+        words, long = self.words, []
+        for segment in set(segments).difference(words):
+            self._word(segment)
+            if len(segment) > MEMO_LENGTH:
+                long.append(segment)
+        ids = " ".join(map(words.__getitem__, segments))
+        decoded = "".join(map(self.texts.__getitem__, segments))
+        for segment in long:
+            del words[segment], self.texts[segment]
+        return ids.count(" ") + 2, f"{ids} {self.end}", decoded.removeprefix(" ")
 
     @staticmethod
     def hashed(row: tuple[int, str, str]) -> tuple[int, str, str]:

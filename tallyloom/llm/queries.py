@@ -186,13 +186,15 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@register("op10_line_dedup", """
-  WITH lines AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
-  u AS (SELECT doc_id, CAST(start AS INT) AS start, CAST(start + length(line) AS INT) AS "end", norm FROM (
-      SELECT *, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS norm FROM lines) WHERE len(string_split(norm, ' ')) >= 15),
-  k AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start))
-  SELECT doc_id, start, "end", kept_doc_id, kept_start FROM k WHERE doc_id <> kept_doc_id OR start <> kept_start""")
+@register("op10_line_dedup", rf"""
+  WITH cut AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n.!?]*[.!?]+|[^\n.!?]+|\n')) AS unit, unnest(range(len(regexp_extract_all(text, '[^\n.!?]*[.!?]+|[^\n.!?]+|\n')))) AS i FROM documents),
+  placed AS (SELECT doc_id, unit, i, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i) - length(unit) AS start, trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS norm FROM cut),
+  u AS (SELECT doc_id, CAST(start AS INT) AS start, CAST(start + length(unit) AS INT) AS "end", norm, CAST(len(string_split(norm, ' ')) AS INT) AS words,
+      row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM placed WHERE norm <> ''),
+  k AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start FROM u WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)),
+  r AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM k WHERE doc_id <> kept_doc_id OR start <> kept_start)
+  SELECT doc_id, start, "end", words, kept_doc_id, kept_start, CAST(run_words AS BIGINT) AS run_words
+  FROM (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM r) WHERE run_words >= {line_dedup.LEAST_RUN}""")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 15 words and more that stand in an earlier place, with their original offsets."""
+    """Sentences that stand in an earlier place, in runs of 25 words and more, with their original offsets."""
     return line_dedup.removals(table(spark, sf_dir, "documents"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, licence_scan, line_dedup, piece_codec, quality_ordinal, secret_ledger, simhash_groups
+from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, licence_scan, line_dedup, periodic_runs, piece_codec, quality_ordinal, secret_ledger, simhash_groups
 from tallyloom.llm.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +199,20 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that stand in an earlier place, in runs of 25 words and more, with their original offsets."""
     return line_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+def _repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, by the CRC-32 of their ids, repeat a part of their own words from some word on."""
+    drawn, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or drawn % 10 or not n:
+        return words
+    rest = drawn // 10
+    start = rest % n
+    period = 1 + (n - start) // (3 + rest % 8)
+    return words[:start] + [words[start + (i - start) % period] for i in range(start, n)]
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, some of which are made to repeat, and the texts without them."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), _repeating)

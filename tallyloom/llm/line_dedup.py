@@ -69,6 +69,7 @@ def repeated(docs: DataFrame, unit: str = "sentence") -> DataFrame:
         found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n"))
         .where("n > 1").select("digest", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"))
     )
+    kept, _ = written(kept, "kept")  # so that the join stands alone and a very common unit's side can be split
     again = found.join(kept, "digest").where("doc_id <> kept_doc_id or start <> kept_start").drop("digest").distinct()
     run = again.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "start", "end")))
     return run.withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run"))).select(

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, hard_negatives, licence_scan, line_dedup, periodic_runs, piece_codec, quality_ordinal, secret_ledger, simhash_groups
+from tallyloom.llm import byte_shards, chat_template, cross_polytope, decontaminate, hard_negatives, licence_scan, line_dedup, periodic_runs, piece_codec, prefix_tree_join, quality_ordinal, secret_ledger, simhash_groups
 from tallyloom.llm.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,6 +216,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label=moved)
 
 
+@register("op12_prefix_tree_join", r"""
+  WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  g AS (SELECT DISTINCT doc_id, gram FROM (
+      SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE [array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)] END) AS gram FROM w)),
+  size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+  link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b USING (gram) JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+    WHERE a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""")
+def op12_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at 0.8 and more of their distinct five-word shingles."""
+    return prefix_tree_join.groups(table(spark, sf_dir, "documents"))
+
+
 def _repeating(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """A tenth of the documents, by the CRC-32 of their ids, repeat a part of their own words from some word on."""
     drawn, n = zlib.crc32(str(doc_id).encode()), len(words)

@@ -4,12 +4,13 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from tallyloom.llm import decontaminate, quality_ordinal, simhash_groups
+from tallyloom.llm import decontaminate, quality_ordinal
 from tallyloom.llm.queries import GRADES, ratings
 from tallyloom.llm.tables import written
 
 from .test_decontaminate import plain_best
 from .test_secret_ledger import BASE
+from .test_simhash_groups import plain_groups, plain_print
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,18 +36,9 @@ def test_stages_equal_brute_force(spark):
     got = {r.doc_id: r.text for r in frame.collect()}
     assert abs(len(set(got) ^ want)) <= 1 and frame.columns == columns  # single precision of the weights at the boundary
 
-    prints = {i: simhash_groups.wide_print(t) for i, t in got.items()}
+    prints = {i: plain_print(t) for i, t in got.items()}
     ids = sorted(prints)
-    root = {i: i for i in ids}
-    for a in ids:
-        for b in ids:
-            if a < b:
-                differ = prints[a][0] ^ prints[b][0]
-                shared = sum(not (differ >> (8 * p)) & 255 for p in range(8))
-                apart = (int.from_bytes(prints[a][1], "big") ^ int.from_bytes(prints[b][1], "big")).bit_count()
-                if shared >= 3 and differ.bit_count() <= 20 and apart <= 44:
-                    low, high = sorted((root[a], root[b]))
-                    root = {i: low if r == high else r for i, r in root.items()}
+    root = plain_groups(prints)
     frame, _ = written(corpus_pipeline.near_dedup(spark, frame, FOLDER), names[1])
     got = {r.doc_id: r.text for r in frame.collect()}
     assert set(got) == {i for i in ids if root[i] == i} and frame.columns == columns and len(got) < len(ids)

@@ -14,10 +14,6 @@ from tallyloom.llm import decontaminate, piece_codec, quality_ordinal, secret_le
 from tallyloom.llm.queries import GRADES, ratings, register
 from tallyloom.llm.tables import discard, table, written
 
-# Near copies: at least three of the eight bytes of the words' fingerprints agree, and of the 256 bits of the
-# five-word shingles' fingerprints at most 44 differ: similarity 0.8 leads to 38.8 on average, with a deviation of 5.7.
-NEAR = {"printer": simhash_groups.wide_print, "radius": 20, "least": 3, "apart": 44}
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are good with a probability of 0.8 and more, by a model fitted on the graded labels."""
@@ -26,8 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    return simhash_groups.one_of_each(docs, **NEAR)
+    """One document of each group of near copies, that with the smallest id: fingerprints of 4-word shingles, linked at
+    four differing bits or fewer."""
+    return simhash_groups.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Benchmark scoring, question routing, model and forecast cases."""
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from registered.base import CTES, case
@@ -205,12 +206,33 @@ def labelled_features(m: Marts):
     return featured_of(m).withColumn("question", F.col("content")).withColumn("label", label)
 
 
-@case("rtr04_quality_classifier")
+CTES["held_out"] = """
+SELECT message_id, label FROM (SELECT message_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(message_id), message_id) AS rn, count(*) OVER (PARTITION BY label) AS n
+  FROM (SELECT message_id, CASE WHEN feedback_rating = 'NEGATIVE' THEN 'noise' ELSE 'answerable' END AS label FROM telemetry)) WHERE rn <= floor(n * 0.25 + 0.5)"""
+JUDGED = "SELECT label, count(*) AS held_out, TRUE AS better_than_majority, TRUE AS same_after_load FROM held_out GROUP BY label"
+
+
+def judged(scored: DataFrame, again: DataFrame) -> DataFrame:
+    """Held-out rows by label, whether the model is right more often than the larger class is large, and whether the
+    stored model says the same."""
+    both = scored.select("message_id", "label", F.col("predicted").alias("_p")).join(again.select("message_id", "predicted"), "message_id")
+    counts = both.groupBy("label").agg(
+        F.count(F.lit(1)).alias("held_out"), F.count_if(F.col("label") == F.col("_p")).alias("_right"), F.bool_and(F.col("_p").eqNullSafe(F.col("predicted"))).alias("same_after_load")
+    )
+    whole = Window.partitionBy()  # one row for each class
+    return counts.select("label", "held_out", (F.sum("_right").over(whole) > F.max("held_out").over(whole)).alias("better_than_majority"), "same_after_load")
+
+
+@case("rtr04_quality_classifier", JUDGED)
 def _(m: Marts):
-    rows = labelled_features(m)
-    scored = models.p_answerable(models.quality_model(rows), rows)
+    """Fitted on three quarters, judged on the rest, stored and loaded."""
+    rows = labelled_features(m).select("message_id", "label", *router.FEATURES)
+    train, held = models.parts(router.stratified_split(rows, "label", "message_id"))
+    model, path = models.quality_model(train), scratch_path(m.spark, "quality")
+    model.write().overwrite().save(path)
     said = F.when(F.col("p_answerable") >= 0.5, "answerable").otherwise("noise")
-    return router.classifier_scores(scored.select("label", said.alias("predicted")))
+    one, two = (models.p_answerable(x, held).withColumn("predicted", said) for x in (model, models.PipelineModel.load(path)))
+    return judged(one, two)
 
 
 CTES["predictions"] = """
@@ -312,28 +334,44 @@ def heads(m: Marts, trees: bool = False):
     return features, head, train, held
 
 
-@case("rtr09_text_features")
+CTES["grams"] = """
+SELECT message_id, gram, count(*) AS tf FROM (
+  SELECT message_id, unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS gram FROM (SELECT message_id, regexp_extract_all(lower(content), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS words FROM telemetry)) GROUP BY 1, 2"""
+CTES["gram_weights"] = """
+SELECT message_id, gram, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY message_id)) AS weight FROM (
+  SELECT message_id, gram, tf, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM telemetry)) / (1.0 + df))) AS raw FROM grams JOIN (SELECT gram, count(*) AS df FROM grams GROUP BY gram) USING (gram))"""
+
+
+@case("rtr09_text_features", "SELECT message_id, gram, tf, round(weight, 6) AS weight FROM gram_weights")
 def _(m: Marts):
-    from pyspark.ml.functions import vector_to_array
+    """The TF-IDF weight of every gram of every question."""
+    rows = training_rows(m).select("message_id", "question")
+    table, questions = models.gram_table(rows), rows.agg(F.count(F.lit(1))).scalar()
+    return models.gram_weights(rows, "message_id", table, questions).withColumn("weight", F.round("weight", 6))
 
-    rows = training_rows(m)
-    out = models.TextFeatures().fit(rows).transform(rows)
-    v = vector_to_array("features")
-    return out.select("message_id", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
+
+METRIC_OF = "CASE WHEN contains(question, 'revenue') THEN 'net_revenue' WHEN contains(question, 'AOV') THEN 'aov' ELSE 'orders' END"
 
 
-@case("rtr10_two_heads")
+@case(
+    "rtr10_two_heads",
+    "SELECT 'answerability' AS head, count(*) AS held_out, TRUE AS better_than_majority FROM held_out UNION ALL "
+    "SELECT 'target_metric', count(*), TRUE FROM (SELECT row_number() OVER (PARTITION BY metric ORDER BY md5(message_id), message_id) AS rn, count(*) OVER (PARTITION BY metric) AS n FROM ("
+    f"SELECT message_id, {METRIC_OF} AS metric FROM (SELECT message_id, content AS question FROM telemetry WHERE feedback_rating IS DISTINCT FROM 'NEGATIVE'))) WHERE rn <= floor(n * 0.25 + 0.5)",
+)
 def _(m: Marts):
-    features, head, _, held = heads(m)
-    a = router.classifier_scores(head.predict(features.transform(held)).select("label", "predicted")).select(F.lit("answerability").alias("head"), "accuracy")
-    rows = training_rows(m).where(F.col("label") == "answerable")
-    if not models.enough_targets(rows, "target_metric"):
-        return a
-    b_train, b_held = models.parts(router.stratified_split(rows, "target_metric", "message_id"))
-    b_features = models.TextFeatures().fit(b_train)
-    b = models.Head("target_metric").fit(b_features.transform(b_train)).predict(b_features.transform(b_held))
-    right = F.count_if(F.col("target_metric") == F.col("predicted")) / F.count(F.lit(1))
-    return a.unionByName(b.agg(F.round(right, 4).alias("accuracy")).select(F.lit("target_metric").alias("head"), "accuracy"))
+    """Both heads on the rows held out from them; the metric head is fitted on answerable questions alone."""
+    def head_of(rows: DataFrame, label: str, name: str) -> DataFrame:
+        train, held = models.parts(router.stratified_split(rows, label, "message_id"))
+        features = models.TextFeatures().fit(train)
+        said = models.Head(label).fit(features.transform(train)).predict(features.transform(held))
+        counts = said.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == F.col("predicted")).alias("right"))
+        return counts.agg(F.sum("n").alias("held_out"), (F.sum("right") > F.max("n")).alias("better_than_majority")).select(F.lit(name).alias("head"), "held_out", "better_than_majority")
+
+    rows = training_rows(m)
+    first = head_of(rows, "label", "answerability")
+    rows = rows.where(F.col("label") == "answerable")
+    return first.unionByName(head_of(rows, "target_metric", "target_metric")) if models.enough_targets(rows, "target_metric") else first
 
 
 @case(
@@ -361,16 +399,30 @@ def _(m: Marts):
     return router.class_report(predictions_of(m))
 
 
-@case("rtr13_top_coefficients")
+@case(
+    "rtr13_top_coefficients",
+    "SELECT label AS class, CAST(i AS BIGINT) AS place, TRUE AS falling, TRUE AS of_the_training_rows FROM (SELECT DISTINCT label FROM training_labels), range(1, 6) r(i)",
+)
 def _(m: Marts):
+    """The five strongest features of each class: places, whether coefficients fall, and whether each named gram is one
+    of the training rows (or one of the nine features)."""
     features, head, train, _ = heads(m)
-    return head.top_coefficients(train, features.names())
+    top = head.top_coefficients(features)
+    grams = models.gram_table(train).select(F.concat(F.lit("term:"), "gram").alias("feature"), F.lit(True).alias("_known"))
+    before = F.lag("coefficient").over(Window.partitionBy("class").orderBy("place"))
+    return top.withColumn("before", before).join(grams, "feature", "left").select(
+        "class", "place", F.coalesce(F.col("before") >= F.col("coefficient"), F.lit(True)).alias("falling"),
+        (F.coalesce("_known", F.lit(False)) | F.col("feature").startswith("feature:")).alias("of_the_training_rows"),
+    )
 
 
-@case("rtr14_boosted_arm")
+@case("rtr14_boosted_arm", JUDGED)
 def _(m: Marts):
     features, head, _, held = heads(m, trees=True)
-    return router.classifier_scores(head.predict(features.transform(held)).select("label", "predicted"))
+    path = scratch_path(m.spark, "boosted")
+    head.save(path)
+    ready = features.transform(held)
+    return judged(head.predict(ready), models.Head.load(path, "label", trees=True).predict(ready))
 
 
 CTES["sweep"] = """
@@ -470,7 +522,7 @@ def _(m: Marts):
     rows = training_rows(m).where(F.col("label") == "answerable")
     features = models.TextFeatures().fit(rows)
     head = models.Head("target_metric").fit(features.transform(rows))
-    return head.top_coefficients(rows, features.names()).groupBy("class").agg(F.count(F.lit(1)).alias("features"))
+    return head.top_coefficients(features).groupBy("class").agg(F.count(F.lit(1)).alias("features"))
 
 
 @case("rtr19_corpus_ids", "SELECT question, left(sha1(question), 16) AS corpus_id FROM corpus")

@@ -7,12 +7,10 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, CountVectorizerModel, IDFModel, NGram, RegexTokenizer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler,
-)
+from pyspark.ml.feature import NGram, RegexTokenizer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.router import FEATURES, stratified_split
@@ -44,6 +42,10 @@ def p_answerable(model: PipelineModel, featured: DataFrame) -> DataFrame:
     return scored.withColumn("p_answerable", F.round(vector_to_array("probability")[1], 4))
 
 
+WIDTH = 1 << 16  # columns of the text part, whatever the vocabulary; grams that hash alike share one
+TREE_COLUMNS = 256  # text columns a tree may split on: those the linear model weighs most
+
+
 def with_terms(rows: DataFrame) -> DataFrame:
     """Words of two letters or more and their pairs."""
     words = RegexTokenizer(inputCol="question", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False)
@@ -52,49 +54,83 @@ def with_terms(rows: DataFrame) -> DataFrame:
     return out.withColumn("terms", F.concat("words", "pairs")).drop("words", "pairs")
 
 
+def gram_column(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(WIDTH)).cast("int")
+
+
+def gram_table(rows: DataFrame) -> DataFrame:
+    """(gram, column, df): every gram of the questions with the number of questions that hold it. A gram of all
+    questions is counted in each task before it is shuffled."""
+    grams = with_terms(rows).select(F.explode(F.array_distinct("terms")).alias("gram"))
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", gram_column(F.col("gram")).alias("column"), "df")
+
+
+def gram_weights(rows: DataFrame, key: str, table: DataFrame, questions: Column) -> DataFrame:
+    """(key, gram, tf, weight), one row for each gram of a question that the table knows.
+
+    The weight is (1 + ln tf) * (1 + ln((1 + n) / (1 + df))), divided by the length of the question's vector; n, the
+    number of questions the table was counted from, is a one-row value. A frequent gram is one row of the table, so
+    adaptive execution splits the side of the questions; the sums of a question are as many as it has grams.
+    """
+    counted = with_terms(rows).select(key, F.explode("terms").alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    raw = (1 + F.ln("tf")) * (1 + F.ln((1 + questions) / (1 + F.col("df"))))
+    weighted = counted.join(table.select("gram", "df"), "gram").select(key, "gram", "tf", raw.alias("raw"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighted.select(key, "gram", "tf", (F.col("raw") / length).alias("weight"))
+
+
 class TextFeatures:
-    """Word 1-2-gram counts, damped to 1 + ln(tf) and weighted by IDF, next to the nine features.
+    """Word 1-2-gram counts, damped to 1 + ln(tf), weighted by IDF and brought to length one, next to the nine features.
 
-    Every gram of the training rows has a column, however many there are: the vocabulary's size is counted first and
-    given to the counter. Vectors stay sparse: 1 + ln(tf) is taken of the counts that are there, and nothing as long as the
-    vocabulary is built for a row.
+    Grams are hashed into ``WIDTH`` columns, so neither the driver nor a row holds a vocabulary: the fit brings one
+    number for each column to the driver, and the grams themselves stay a table, by which columns get their names.
+    Vectors are built sparse, without a shuffle. The smoothed IDF is that of ``gram_weights``; the two differ only
+    where grams of one question share a column.
     """
 
     def fit(self, featured: DataFrame) -> TextFeatures:
-        terms = with_terms(featured)
-        size = terms.select(F.explode("terms").alias("t")).agg(F.countDistinct("t")).first()[0]
-        self.counts_model = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max(1, size), minDF=1.0).fit(terms)
-        self.idf_model = IDF(inputCol="damped", outputCol="tfidf").fit(self._damped(terms))
+        self.grams = write_and_read(gram_table(featured), "grams")
+        columns = with_terms(featured).select(F.explode(F.array_distinct(F.transform("terms", gram_column))).alias("column"))
+        held = columns.groupBy("column").agg(F.count(F.lit(1)).alias("df")).toPandas()  # at most WIDTH rows
+        self._weigh(featured.count(), held)
         return self
 
-    def _damped(self, terms: DataFrame) -> DataFrame:
-        counted = self.counts_model.transform(terms)
-        return counted.withColumn("damped", damped_vector("tf"))
+    def _weigh(self, questions: int, held: pd.DataFrame) -> None:
+        self.questions, self.held = questions, held.sort_values("column")
+        df = np.zeros(WIDTH)
+        df[held["column"].to_numpy()] = held["df"].to_numpy()
+        self.idf = 1 + np.log((1 + questions) / (1 + df))
 
     def transform(self, featured: DataFrame) -> DataFrame:
-        assembler = VectorAssembler(inputCols=["tfidf", *FEATURES], outputCol="features")
-        return assembler.transform(self.idf_model.transform(self._damped(with_terms(featured)))).drop("terms", "tf", "damped", "tfidf")
+        idf = featured.sparkSession.sparkContext.broadcast(self.idf)  # half a megabyte
 
-    def names(self) -> list[str]:
-        return [f"term:{t}" for t in self.counts_model.vocabulary] + [f"feature:{f}" for f in FEATURES]
+        @F.pandas_udf(VectorUDT())
+        def vector(columns: pd.Series) -> pd.DataFrame:
+            indices, values = [], []
+            for one in columns:
+                at, tf = np.unique(np.asarray(one, np.int32), return_counts=True)
+                weights = (1 + np.log(tf)) * idf.value[at]
+                indices.append(at)
+                values.append(weights / (np.sqrt((weights * weights).sum()) or 1.0))
+            return pd.DataFrame({"type": np.zeros(len(columns), np.int8), "size": np.full(len(columns), WIDTH, np.int32), "indices": indices, "values": values})
+
+        ready = with_terms(featured).withColumn("tfidf", vector(F.transform("terms", gram_column)))
+        return VectorAssembler(inputCols=["tfidf", *FEATURES], outputCol="features").transform(ready).drop("terms", "tfidf")
 
     def save(self, path: str) -> None:
-        self.counts_model.write().overwrite().save(f"{path}/counts")
-        self.idf_model.write().overwrite().save(f"{path}/idf")
+        spark = self.grams.sparkSession
+        self.grams.write.mode("overwrite").parquet(f"{path}/grams")
+        spark.createDataFrame(self.held, "column INT, df BIGINT").write.mode("overwrite").parquet(f"{path}/columns")
+        spark.createDataFrame([(self.questions,)], "questions BIGINT").write.mode("overwrite").parquet(f"{path}/size")
 
     @classmethod
-    def load(cls, path: str) -> TextFeatures:
+    def load(cls, spark: SparkSession, path: str) -> TextFeatures:
         out = cls()
-        out.counts_model, out.idf_model = CountVectorizerModel.load(f"{path}/counts"), IDFModel.load(f"{path}/idf")
+        out.grams = spark.read.parquet(f"{path}/grams")
+        out._weigh(spark.read.parquet(f"{path}/size").first()[0], spark.read.parquet(f"{path}/columns").toPandas())
         return out
 
 
-@F.pandas_udf(VectorUDT())
-def damped_vector(counts: pd.DataFrame) -> pd.DataFrame:
-    """1 + ln of the filled entries of sparse vectors (their parts come as columns); the others stay unfilled."""
-    return counts.assign(values=counts["values"].map(lambda v: 1 + np.log(v)))
-
-
 class Head:
     """One classifier over the text features."""
 
@@ -105,43 +141,68 @@ class Head:
     def fit(self, rows: DataFrame) -> Head:
         self.index = StringIndexer(inputCol=self.label, outputCol="y", stringOrderType="alphabetAsc").fit(rows)
         indexed = balanced(self.index.transform(rows), "y")
+        linear = LogisticRegression(labelCol="y", weightCol="weight", maxIter=100, regParam=0.01, family="multinomial")
+        self.model = linear.fit(indexed)
         if self.trees:
-            kind = GBTClassifier(labelCol="y", weightCol="weight", maxIter=10, maxDepth=3, seed=SEED)
-        else:
-            kind = LogisticRegression(labelCol="y", weightCol="weight", maxIter=100, regParam=0.01, family="multinomial")
-        self.model = kind.fit(indexed)
+            size = self.model.numFeatures
+            strength = np.abs(self._coefficients()).max(axis=0)
+            strength[size - len(FEATURES) :] = np.inf  # the nine features always take part
+            best = np.sort(np.lexsort((np.arange(size), -strength))[: TREE_COLUMNS + len(FEATURES)])
+            self.slicer = VectorSlicer(inputCol="features", outputCol="sliced", indices=best.tolist())
+            boosted = GBTClassifier(labelCol="y", weightCol="weight", featuresCol="sliced", maxIter=10, maxDepth=3, seed=SEED)
+            self.model = boosted.fit(self.slicer.transform(indexed))
         return self
 
     def save(self, path: str) -> None:
         self.index.write().overwrite().save(f"{path}/index")
         self.model.write().overwrite().save(f"{path}/model")
+        if self.trees:
+            self.slicer.write().overwrite().save(f"{path}/slicer")
 
     @classmethod
     def load(cls, path: str, label: str, trees: bool = False) -> Head:
         out = cls(label, trees)
         out.index = StringIndexerModel.load(f"{path}/index")
         out.model = (GBTClassificationModel if trees else LogisticRegressionModel).load(f"{path}/model")
+        if trees:
+            out.slicer = VectorSlicer.load(f"{path}/slicer")
         return out
 
+    def _coefficients(self) -> np.ndarray:
+        return self.model.coefficientMatrix.toArray()  # classes x (WIDTH + 9), whatever the rows
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``predicted`` and ``metrics`` (array of struct(name, p) over the classes)."""
         classes = list(self.index.labels)
         names = F.array(*[F.lit(c) for c in classes])
-        scored = self.model.transform(rows)
+        scored = self.model.transform(self.slicer.transform(rows) if self.trees else rows)
         pairs = F.zip_with(names, vector_to_array("probability"), lambda n, p: F.struct(n.alias("name"), p.alias("p")))
         return scored.withColumns(
             {"predicted": F.element_at(names, F.col("prediction").cast("int") + 1), "metrics": pairs}
-        ).drop("rawPrediction", "probability", "prediction")
+        ).drop("rawPrediction", "probability", "prediction", "sliced")
+
+    def top_coefficients(self, features: TextFeatures, n: int = 5) -> DataFrame:
+        """(class, place, feature, coefficient): the strongest features per class, ties by name.
 
-    def top_coefficients(self, rows: DataFrame, names: list[str], n: int = 5) -> DataFrame:
-        """The strongest features per class. The coefficients are the model itself, already on the
-        driver and bounded by the vocabulary."""
-        matrix = self.model.coefficientMatrix.toArray()
+        A text column is called by its most frequent gram. A class brings as many columns to the driver as could be
+        among its first ``n`` (those at least as strong as the n-th); the names come from the table of grams.
+        """
+        matrix = self._coefficients()
+        used = np.concatenate([np.isin(np.arange(WIDTH), self._columns(features)), np.ones(len(FEATURES), bool)])
         cells = []
         for c, weights in zip(self.index.labels, matrix):
-            best = sorted(range(len(weights)), key=lambda i: (-weights[i], names[i]))[:n]
-            cells += [(c, place, names[i], round(float(weights[i]), 6)) for place, i in enumerate(best, 1)]
-        return rows.sparkSession.createDataFrame(cells, "class STRING, place INT, feature STRING, coefficient DOUBLE")
+            able = np.where(used, weights, -np.inf)
+            for i in np.flatnonzero(able >= np.sort(able)[-min(n, int(used.sum()))]).tolist():
+                cells.append((c, i, f"feature:{FEATURES[i - WIDTH]}" if i >= WIDTH else None, round(float(weights[i]), 6)))
+        strong = features.grams.sparkSession.createDataFrame(cells, "class STRING, column INT, name STRING, coefficient DOUBLE")
+        called = features.grams.groupBy("column").agg(F.min_by("gram", F.struct(-F.col("df"), "gram")).alias("gram"))
+        named = strong.join(called, "column", "left").select("class", F.coalesce("name", F.concat(F.lit("term:"), "gram")).alias("feature"), "coefficient")
+        place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("coefficient"), "feature"))
+        return named.select("class", place.alias("place"), "feature", "coefficient").where(F.col("place") <= n)
+
+    @staticmethod
+    def _columns(features: TextFeatures) -> np.ndarray:
+        return features.held["column"].to_numpy()
 
 
 def enough_targets(rows: DataFrame, label: str, min_rows: int = 5) -> bool:

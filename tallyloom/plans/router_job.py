@@ -38,7 +38,7 @@ class RouterJob:
 
     def score(self, rows: DataFrame) -> DataFrame:
         """The rows with ``p_answerable`` and ``metrics`` of the stored heads."""
-        ready = models.TextFeatures.load(f"{self.root}/features").transform(rows)
+        ready = models.TextFeatures.load(self.spark, f"{self.root}/features").transform(rows)
         first = models.Head.load(f"{self.root}/answerable", "label").predict(ready).drop("predicted")
         chance = F.filter("metrics", lambda m: m["name"] == "answerable")
         first = first.withColumn("p_answerable", F.coalesce(F.get(chance, 0)["p"], F.lit(0.0))).drop("metrics")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +23,10 @@ from tallyloom.llm.tables import written
 
 GRAM = 5
 T_UP, T_DOWN = 4, 5  # the least similarity, 0.8, as a fraction
-SLOTS = 1 << 22  # counters of the order table, whatever the data: it takes 4 MB
+SLOTS = 1 << 20  # counters of the order table, whatever the data: it takes 1 MB
 PORTION = 1 << 16
 LEVEL_BITS = 6
-TURNS = 3  # smallest n-grams under other orders, by which most links are found first
+TURNS = 2  # smallest n-grams under other orders, by which most links are found first
 BLOCK = 2_000_000  # n-grams of the sets that one task holds, twice
 SLICE = 256
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -96,7 +97,7 @@ def order_table(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
     portions = docs.select("text").where("text is not null").mapInArrow(count, "part int, used binary, counts binary")
     sums = portions.repartition(SLOTS // PORTION, "part").mapInArrow(add, "part int, total long, quarters binary")
     quarters, total = np.zeros(SLOTS, np.uint8), 0
-    for row in sums.collect():  # 64 rows of 64 KB
+    for row in sums.collect():  # 16 rows of 64 KB
         quarters[row.part * PORTION : (row.part + 1) * PORTION] = np.frombuffer(row.quarters, np.uint8)
         total += row.total
     usual = 4 * np.log2(2 * total / SLOTS + 16)
@@ -248,11 +249,12 @@ def forest(reps: list[int], known: list[int], sets: list[np.ndarray]) -> list[tu
     return [(max(a, b), min(a, b)) for a, b in edges if a != b]
 
 
-def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(high, low) edges out of the buckets of ``members`` (key, rep, n, known).
+def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) -> DataFrame:
+    """(high, low) edges out of the buckets of ``members`` (key, rep, n, digest, known), written.
 
     The members of a bucket are numbered by their sizes in n-grams; beyond ``BLOCK`` of them, blocks are compared with
-    one another in tasks of their own, so that no task holds more than two blocks and all pairs still meet.
+    one another in tasks of their own, so that no task holds more than two blocks and all pairs still meet. Sets are
+    taken from the texts again, of members alone: they would fill more room than the texts do.
     """
     bucket = Window.partitionBy("key")
     before = F.sum("n").over(bucket.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1))
@@ -260,8 +262,24 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = (
         numbered.withColumn("blocks", F.max("block").over(bucket))
         .withColumn("other", F.explode(F.expr("filter(sequence(0, blocks), x -> x <> block or blocks = 0)")))
-        .select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "known")
+        .select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "digest", "known")
     )
+    dealt, _ = written(dealt, "dealt")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, grams, digest = None, b"", b""
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                right, sets = [], []
+                for text, wanted in zip(part["text"].to_pylist(), part["digest"].to_pylist(), strict=True):
+                    if text != last:  # rows of one text follow one another
+                        last, grams = text, ordered_set(text, levels.value, gram).tobytes()
+                        digest = xxhash.xxh3_128_digest(grams)
+                    right.append(digest == wanted)  # another text of a repeated id does not belong to the class
+                    sets.append(grams if right[-1] else None)
+                columns = [part["key"], part["one"], part["two"], part["rep"], part["known"], pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "rep", "known", "grams"]).filter(pa.array(right))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, edges = None, [], []
@@ -284,12 +302,13 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["high", "low"])
 
-    dealt, _ = written(dealt, "dealt")
-    full = dealt.join(sets.select("rep", "grams"), "rep")
-    return full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep").mapInArrow(compare, "high long, low long").distinct()
+    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "digest")
+    full = texts.mapInArrow(gather, "key long, one int, two int, rep long, known long, grams binary")
+    compared = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep").mapInArrow(compare, "high long, low long")
+    return written(compared.distinct(), "links")[0]
 
 
-def _distinct_buckets(members: DataFrame) -> DataFrame:
+def _mixed_buckets(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one known component, one bucket for each set of members."""
     mark = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"mark{k}") for k in (0, 1)]
     buckets = members.groupBy("key").agg(F.count("*").alias("many"), F.min("known").alias("low"), F.max("known").alias("high"), *mark).where("low < high")
@@ -303,61 +322,59 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 
     Documents with fewer words than an n-gram have the whole sequence as their only one; those without words have an
     empty set and are linked with nothing. Equal sets are one class with the smallest id as its representative, so copies
-    never meet in pairs. Rows with a repeated doc_id come back as often as they are, each under its own text; a null doc_id has no component of its own (null, unless
-    its class has an id). An empty table gives no rows.
+    never meet in pairs. Rows with a repeated doc_id come back as often as they are, each under its own text; a null doc_id
+    has no component of its own (null, unless its class has an id). An empty table gives no rows.
 
-    Links are found in two steps that both compare sets exactly: in buckets of the smallest n-grams under three orders,
-    which finds nearly all, and then in the buckets of all n-grams at the beginnings of sets, of which only those are
-    left that hold more than one component by then.
+    Links are found in steps that all compare sets exactly: in buckets of the smallest n-gram under one order after the
+    other, which find nearly all, and then in the buckets of all n-grams at the beginnings of sets. Of the buckets of each
+    step only those are looked at that hold more than one component by then.
     """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(order_table(docs, gram))
+    turns = [f"least{turn}" for turn in range(TURNS)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE):
                 part = batch.slice(begin, SLICE)
                 sets = [ordered_set(t, levels.value, gram) for t in part["text"].to_pylist()]
-                least = [[int(_mixed(s ^ np.uint64(turn + 1)).min().view(np.int64)) for turn in range(TURNS)] if len(s) else [] for s in sets]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                least = [[int(_mixed(s ^ np.uint64(turn + 1)).min().view(np.int64)) if len(s) else None for s in sets] for turn in range(TURNS)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([s[: beginning(len(s))].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64())),
+                        part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                        pa.array([d and int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
+                        pa.array([s[: beginning(len(s))].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        *(pa.array(x, pa.int64()) for x in least),
                     ],
-                    ["doc_id", "n", "digest", "first", "least"],
+                    ["doc_id", "n", "digest", "mark", "first", *turns],
                 )
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
-                kept = []
-                for rep, text, digest in zip(*(part[c].to_pylist() for c in ("rep", "text", "digest")), strict=True):
-                    grams = ordered_set(text, levels.value, gram).tobytes()
-                    if xxhash.xxh3_128_digest(grams) == digest:  # another text of a repeated id does not belong to the class
-                        kept.append((rep, grams))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], ["rep", "grams"])
-
-    described, _ = written(docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, first array<long>, least array<long>"), "sets")
-    one = F.min(F.struct("doc_id", "n", "first", "least"))
-    known = described.where("digest is not null and doc_id is not null").groupBy("digest").agg(one.alias("one"))
-    classes, _ = written(known.select("digest", F.col("one.doc_id").alias("rep"), "one.n", "one.first", "one.least"), "classes")
-
-    listed = classes.select("rep", "n", F.explode("first").alias("key"))
-    shared, _ = written(listed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("key"), "shared")
-    postings, _ = written(listed.join(shared, "key"), "postings")
-    candidates, _ = written(postings.select("rep").distinct().join(classes.select("rep", "digest", "n", "least"), "rep"), "candidates")
-    texts = docs.select("doc_id", "text").join(candidates.select("rep", "digest"), F.col("doc_id") == F.col("rep"))
-    sets, _ = written(texts.select("rep", "text", "digest").mapInArrow(gather, "rep long, grams binary"), "grams")
-
-    turned = candidates.select("rep", "n", F.col("rep").alias("known"), F.posexplode("least").alias("turn", "smallest"))
-    quick = _distinct_buckets(turned.select(F.xxhash64("turn", "smallest").alias("key"), "rep", "n", "known"))
-    edges, _ = written(_links(quick, sets), "links")
-    so_far, _ = written(components(edges), "so-far")
-    placed = postings.join(so_far, postings.rep == so_far.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("known"))
-    rest, _ = written(_links(_distinct_buckets(placed), sets), "links")
-    roots = components(edges.unionByName(rest))
-    named = classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    named, _ = written(named, "named")
-    return described.join(named, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("digest").isNull(), F.col("doc_id"))).alias("component_id"))
+    shape = "doc_id long, n long, digest binary, mark long, first array<long>, " + ", ".join(f"{t} long" for t in turns)
+    described, _ = written(docs.select("doc_id", "text").mapInArrow(describe, shape), "sets")
+    known = described.where("digest is not null and doc_id is not null")
+    classes, _ = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
+
+    listed = known.select("digest", "mark", F.explode("first").alias("key"))
+    shared, _ = written(listed.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("key"), "shared")
+    postings, _ = written(listed.join(shared, "key").select("key", "digest").distinct(), "postings")
+    reps = classes.select("digest", "rep", "n")
+    candidates, _ = written(postings.select("digest").distinct().join(classes, "digest"), "candidates")
+
+    edges, roots = None, None
+    for turn in (*turns, None):  # the last step looks at all n-grams of the beginnings
+        if turn:
+            members = candidates.select(F.col(turn).alias("key"), "rep", "n", "digest")
+        else:
+            members = postings.join(reps, "digest").select("key", "rep", "n", "digest")
+        if roots is None:
+            members = members.withColumn("known", F.col("rep"))
+        else:
+            members = members.join(roots, members.rep == roots.node, "left").select("key", "rep", "n", "digest", F.coalesce("component", "rep").alias("known"))
+        found = _links(_mixed_buckets(members), docs, levels, gram)
+        edges = found if edges is None else edges.unionByName(found)
+        roots, _ = written(components(edges), "roots")
+    named, _ = written(reps.join(roots, reps.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
+    return described.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("digest").isNull(), F.col("doc_id"))).alias("component_id")
+    )

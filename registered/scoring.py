@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from registered.base import CTES, case
 from registered.loop import EDGE, quoted
 from tallyloom import fixed_values as fv
+from tallyloom.functions.nearest import nearest
 from tallyloom.operators import certified, drift, evals, models, router, telemetry
 from tallyloom.plans.marts import Marts
 from tallyloom.plans.router_job import RouterJob
@@ -541,6 +542,18 @@ def _(m: Marts):
     return router.similar(vectors.select("vec_id", "label", "embedding"), F.col("embedding"), probe, 5).drop("embedding")
 
 
+@case(
+    "rtr20_similar_batch",
+    "SELECT probe, place, row, similarity FROM (SELECT p.vec_id AS probe, r.vec_id AS row, round(list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS similarity, "
+    "row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_cosine_similarity(CAST(r.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) DESC, r.vec_id) AS place "
+    "FROM embeddings p JOIN embeddings r ON p.vec_id % 50 = 0 AND p.vec_id <> r.vec_id) WHERE place <= 5",
+)
+def _(m: Marts):
+    """The five nearest rows of every 50th question vector."""
+    vectors = m.tables("embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), 5, "vec_id", "embedding")
+
+
 ARM = """
 SELECT *, coalesce(round(noise_deflected / CAST(nullif(noise, 0) AS DOUBLE), 4), 0.0) AS deflection_rate, coalesce(round(false_rejects / CAST(nullif(answerable, 0) AS DOUBLE), 4), 0.0) AS false_reject_rate FROM (
   SELECT count(*) AS questions, count(*) FILTER (WHERE NOT answerable) AS noise, count(*) FILTER (WHERE answerable) AS answerable, count(*) FILTER (WHERE NOT answerable AND decision <> 'run') AS noise_deflected,

@@ -92,3 +92,29 @@ def test_quality_model_separates_noise(spark):
     got = models.p_answerable(models.quality_model(f), f)
     said = F.when(F.col("p_answerable") >= 0.5, "answerable").otherwise("noise")
     assert router.classifier_scores(got.select("label", said.alias("predicted"))).first().accuracy == 1.0
+
+
+def test_nearest_rows_of_many_probes(spark, monkeypatch):
+    import numpy as np
+
+    from tallyloom.functions import nearest as N
+
+    random = np.random.default_rng(3)
+    vectors = {i: [round(float(x), 1) for x in random.standard_normal(3)] for i in range(300)}  # many ties
+    data = [(i, v) for i, v in vectors.items()] + [(1000, None), (1001, [0.0] * 3), (1002, [None] * 3), (1003, [float("nan")] * 3), (None, [1.0] * 3)]
+    table = spark.createDataFrame(data, "id BIGINT, v ARRAY<DOUBLE>")
+    want = []
+    for i in range(0, 300, 7):
+        p = np.array(vectors[i])
+        near = [(-round(float(np.dot(p, v) / np.linalg.norm(p) / np.linalg.norm(v)), 6), j) for j, v in ((j, np.array(v)) for j, v in vectors.items()) if j != i and v.any()]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(near)[:4])]
+    asked = table.where("id % 7 = 0 and id < 1000")
+
+    def got():
+        return sorted((r[0], r[1], r[2], round(r[3], 5)) for r in N.nearest(table, asked, 4, "id", "v").collect())
+
+    want = sorted((a, b, c, round(d, 5)) for a, b, c, d in want)
+    assert got() == want
+    monkeypatch.setattr(N, "ROWS", 40)
+    monkeypatch.setattr(N, "PROBES", 10)
+    assert got() == want and N.nearest(table.limit(0), asked, 4, "id", "v").count() == 0

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
 from tallyloom.functions.numbers import mean, percent, ratio, share, sum_if
-from tallyloom.functions.ranking import global_ntile
-from tallyloom.session import write_and_read
+from tallyloom.functions.ranking import tiles_by_cuts
 
 
 def month_of(c: str) -> Column:
@@ -51,8 +50,7 @@ def monthly_summary(daily: DataFrame, facts: DataFrame) -> DataFrame:
 
 def customer_health(rfm: DataFrame) -> DataFrame:
     """Monetary quartiles (Q1 = top) plus the 'all' row, both from one pass over the scored customers."""
-    order = [F.desc("monetary"), F.col("customer_id"), F.col("country")]
-    scored = global_ntile(rfm, 4, order, "quartile")
+    scored = tiles_by_cuts(rfm, {"quartile": -F.col("monetary")}, ["customer_id", "country"], 4)
     segment = F.explode(F.array(F.concat(F.lit("Q"), F.col("quartile").cast("string")), F.lit("all")))
     return (
         scored.select(segment.alias("segment"), "monetary", "recency_days", "frequency")
@@ -154,13 +152,9 @@ def return_rates(facts: DataFrame) -> DataFrame:
 
 
 def rfm_scores(rfm: DataFrame) -> DataFrame:
-    """Three quartile scores per customer. Each global ranking is written once; the RFM rows
-    themselves are written first so that the sales history is not read three times."""
-    tie = [F.col("customer_id"), F.col("country")]
-    scored = write_and_read(rfm, "rfm")
-    scored = global_ntile(scored, 4, [F.desc("recency_days"), *tie], "r_score")
-    scored = global_ntile(scored, 4, [F.asc("frequency"), *tie], "f_score")
-    return global_ntile(scored, 4, [F.asc("monetary"), *tie], "m_score")
+    """Three quartile scores per customer, found together."""
+    measures = {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("monetary")}
+    return tiles_by_cuts(rfm, measures, ["customer_id", "country"], 4)
 
 
 def rfm_segments(rfm: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
 from tallyloom.functions.numbers import ratio
-from tallyloom.functions.ranking import numbered, ranged_table
+from tallyloom.functions.ranking import cut_rows
 from tallyloom.functions.text import any_in, clean_text, count_in, is_correction, name_tokens, whole_word_hits, word_tokens
 from tallyloom.session import write_and_read
 from tallyloom.sources.tables import one_per_key
@@ -189,29 +189,22 @@ def stratified_split(rows: DataFrame, label: str, key: str, held_out: float = 0.
     """Mark ``held_out`` of each class as eval, by the order of a hash: exact and repeatable. Where a
     class has fewer than two rows (or there is one class) all rows serve both purposes.
 
-    The rank within the class is the exact global rank minus the rows of earlier classes, so a class
-    with half of all rows is still numbered by many tasks. The class counts are one row per label.
+    Hashes are even, so the ranges of ``cut_rows`` are their first three digits; the last held-out row of each class is
+    found there, and every row is marked by comparing its hash with that of its class, a one-row map with one entry
+    for each class. No row is moved, whatever share of them has one label.
     """
-    order = [F.col(label), F.md5(key), F.col(key)]
-    ranged = ranged_table(rows, order, "split")
-    counts = ranged.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    classes = counts.select(
-        label,
-        "_class_n",
-        F.coalesce(F.sum("_class_n").over(before), F.lit(0)).alias("_before"),
-        ((F.min("_class_n").over(whole) >= 2) & (F.count(F.lit(1)).over(whole) >= 2)).alias("_splittable"),
-    )
-    ranked = numbered(ranged, order).join(classes, label)
-    place = F.col("_rank") - F.col("_before")
-    part = (
-        F.when(~F.col("_splittable"), "both")
-        .when(place <= F.floor(F.col("_class_n") * held_out + 0.5), "eval")
-        .otherwise("train")
-    )
-    marked = ranked.withColumn("part", part).drop("_rank", "_total", "_class_n", "_before", "_splittable")
-    return write_and_read(marked, "split")  # a fit reads its rows many times
+    name, order = F.col(label).cast("string"), F.struct(F.md5(key).alias("hash"), F.col(key).cast("string").alias("key"))
+    keyed = rows.where(F.col(label).isNotNull()).select(name.alias("part"), F.substring(F.md5(key), 1, 3).alias("range"), order.alias("key"))
+    last = cut_rows(keyed, lambda total: F.array(F.greatest(F.floor(total * held_out + 0.5), F.lit(1)), total))
+    classes = last.groupBy("part").agg(F.min_by("key", "rank").alias("cut"), F.max("rank").alias("total"))
+    known = classes.agg(
+        F.map_from_entries(F.collect_list(F.struct("part", F.struct("cut", "total")))).alias("of"),
+        ((F.min("total") >= 2) & (F.count(F.lit(1)) >= 2)).alias("splittable"),
+    ).agg(F.first(F.struct("of", "splittable"))).scalar()
+    own = F.try_element_at(known["of"], name)
+    held = (F.floor(own["total"] * held_out + 0.5) >= 1) & (order <= own["cut"])
+    part = F.when(~known["splittable"], "both").when(held, "eval").otherwise("train")
+    return write_and_read(rows.withColumn("part", part), "split")  # a fit reads its rows many times
 
 
 # ---- thresholds --------------------------------------------------------------------------------

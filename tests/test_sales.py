@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
-from tallyloom.functions.ranking import global_ntile
+from tallyloom.functions.ranking import tiles_by_cuts
 from tallyloom.operators import certified, metric_view, sales
 from tallyloom.operators.quality import expectation_counts, quarantined_rows, sales_rules
 
@@ -85,18 +85,18 @@ def test_modal_description_breaks_ties_by_recency_then_text(spark):
     assert sales.dim_products(silver.where("description in ('a', 'b')")).first().product_name == "a"
 
 
-def test_global_ntile_equals_the_plain_window_with_hot_ties(spark):
+def test_tiles_equal_the_plain_window_with_hot_ties(spark):
     # a third of the rows share one value
     df = spark.range(0, 1003).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("v"))
-    order = [F.desc("v"), F.col("id")]
-    plain = df.select("id", F.ntile(4).over(Window.orderBy(*order)).alias("want"))
-    got = global_ntile(df, 4, order, "got").join(plain, "id")
-    assert got.where("got <> want").count() == 0 and got.count() == 1003
+    plain = df.select("id", F.ntile(4).over(Window.orderBy(F.desc("v"), "id")).alias("want"), F.ntile(4).over(Window.orderBy("v", "id")).alias("want_up"))
+    got = tiles_by_cuts(df, {"got": -F.col("v"), "got_up": F.col("v")}, ["id"], 4).join(plain, "id")
+    assert got.where("got <> want or got_up <> want_up").count() == 0 and got.count() == 1003
 
 
 def test_tiles_of_fewer_rows_than_tiles(spark):
-    got = global_ntile(spark.range(3), 4, [F.col("id")], "t")
+    got = tiles_by_cuts(spark.range(3), {"t": F.col("id")}, ["id"], 4)
     assert sorted(rows(got.select("id", "t"))) == [(0, 1), (1, 2), (2, 3)]
+    assert tiles_by_cuts(spark.range(0), {"t": F.col("id")}, ["id"], 4).count() == 0
 
 
 def test_metric_view_joins_only_what_is_asked(marts):

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
@@ -23,11 +23,13 @@ from tallyloom.llm.tables import written
 
 GRAM = 5
 T_UP, T_DOWN = 4, 5  # the least similarity, 0.8, as a fraction
-SLOTS = 1 << 20  # counters of the order table, whatever the data: it takes 1 MB
+SLOTS = 1 << 22  # counters of the order table, whatever the data: it takes 4 MB
 PORTION = 1 << 16
 LEVEL_BITS = 6
 TURNS = 2  # smallest n-grams under other orders, by which most links are found first
 BLOCK = 2_000_000  # n-grams of the sets that one task holds, twice
+BITS = 1024  # of a set's parities
+MEMBERS = 4096  # members whose parities one task holds, twice
 SLICE = 256
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -58,7 +60,8 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def order_table(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
-    """The level of each slot: 0 for usual ones, and one more for each doubling of the count beyond twice the mean.
+    """The level of each slot: 0 for usual ones, and one more for each quarter of a doubling beyond what chance makes of
+    the mean (three deviations).
 
     Counts go over all texts, in a table of fixed width; n-grams that fall into one slot share its level. Any such
     table gives a right order; it only keeps the n-grams of widespread passages out of the beginnings of sets.
@@ -97,11 +100,12 @@ def order_table(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
     portions = docs.select("text").where("text is not null").mapInArrow(count, "part int, used binary, counts binary")
     sums = portions.repartition(SLOTS // PORTION, "part").mapInArrow(add, "part int, total long, quarters binary")
     quarters, total = np.zeros(SLOTS, np.uint8), 0
-    for row in sums.collect():  # 16 rows of 64 KB
+    for row in sums.collect():  # 64 rows of 64 KB
         quarters[row.part * PORTION : (row.part + 1) * PORTION] = np.frombuffer(row.quarters, np.uint8)
         total += row.total
-    usual = 4 * np.log2(2 * total / SLOTS + 16)
-    return np.clip(np.ceil((quarters - usual) / 4), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+    mean = total / SLOTS
+    usual = 4 * np.log2(mean + 3 * np.sqrt(mean) + 2)
+    return np.clip(np.ceil(quarters - usual), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
 
 def ordered_set(text: str | None, levels: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -249,22 +253,73 @@ def forest(reps: list[int], known: list[int], sets: list[np.ndarray]) -> list[tu
     return [(max(a, b), min(a, b)) for a, b in edges if a != b]
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """For each of ``BITS`` remainders, whether an odd number of n-grams has it. Where two sets' parities differ there is
+    an n-gram of one set alone, so sets differ by at least as many n-grams as bits."""
+    return np.packbits((np.bincount((_mixed(grams) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def _dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """The members of each bucket in blocks of about ``limit``, once for each block (``one``, ``two``) they are compared with."""
+    bucket = Window.partitionBy("key")
+    before = F.coalesce(F.sum(weight).over(bucket.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = members.withColumn("block", (before / limit).cast("int")).withColumn("blocks", F.max("block").over(bucket))
+    other = numbered.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks), x -> x <> block or blocks = 0)")))
+    return other.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("block", "blocks", "other")
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((key, one, two), rows) of sorted batches."""
+    held, rows = None, []
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            part = batch.slice(begin, SLICE)
+            for key, one, two, *row in zip(*(part[c].to_pylist() for c in ("key", "one", "two", *columns)), strict=True):
+                if (key, one, two) != held:
+                    if rows:
+                        yield held, rows
+                    held, rows = (key, one, two), []
+                rows.append(row)
+    if rows:
+        yield held, rows
+
+
+def _together(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
+
+
+def _plausible(members: DataFrame) -> DataFrame:
+    """The members (key, rep, n, digest, known, bits) of which, by sizes and parities, some set of another component in
+    the bucket can be near enough: 9 times the difference is at most the sum of both sizes."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _, _), rows in _by_group(batches, ("rep", "n", "known", "bits")):
+            reps, sizes, known = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+            bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+            kept = np.zeros(len(rows), bool)
+            for begin in range(0, len(rows), 64):
+                of = slice(begin, begin + 64)
+                differ = np.bitwise_count(bits[of, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                both = sizes[of, None] + sizes[None, :]
+                small, large = np.minimum(sizes[of, None], sizes[None, :]), np.maximum(sizes[of, None], sizes[None, :])
+                near = (known[of, None] != known[None, :]) & ((T_UP + T_DOWN) * differ <= (T_DOWN - T_UP) * both) & (T_DOWN * small >= T_UP * large)
+                kept[of] = near.any(axis=1)
+            found = reps[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key), pa.int64()), pa.array(found)], ["key", "rep"])
+
+    flagged = _together(_dealt(members.select("key", "rep", "n", "known", "bits"), F.lit(1), MEMBERS)).mapInArrow(judge, "key long, rep long")
+    kept, _ = written(flagged.distinct(), "plausible")
+    return members.drop("bits").join(kept, ["key", "rep"])
+
+
 def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) -> DataFrame:
-    """(high, low) edges out of the buckets of ``members`` (key, rep, n, digest, known), written.
+    """(high, low) edges out of the buckets of ``members`` (key, rep, n, digest, known, bits), written.
 
     The members of a bucket are numbered by their sizes in n-grams; beyond ``BLOCK`` of them, blocks are compared with
     one another in tasks of their own, so that no task holds more than two blocks and all pairs still meet. Sets are
-    taken from the texts again, of members alone: they would fill more room than the texts do.
+    taken from the texts again, of members alone that parities leave: they would fill more room than the texts do.
     """
-    bucket = Window.partitionBy("key")
-    before = F.sum("n").over(bucket.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = members.withColumn("block", (F.coalesce(before, F.lit(0)) / BLOCK).cast("int"))
-    dealt = (
-        numbered.withColumn("blocks", F.max("block").over(bucket))
-        .withColumn("other", F.explode(F.expr("filter(sequence(0, blocks), x -> x <> block or blocks = 0)")))
-        .select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "digest", "known")
-    )
-    dealt, _ = written(dealt, "dealt")
+    dealt, _ = written(_dealt(_plausible(members), F.col("n"), BLOCK).drop("n"), "dealt")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, grams, digest = None, b"", b""
@@ -282,29 +337,13 @@ def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) ->
                 yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "rep", "known", "grams"]).filter(pa.array(right))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, edges = None, [], []
-
-        def close() -> None:
-            if len(rows) > 1:
-                edges.extend(forest([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows]))
-            rows.clear()
-
-        for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
-                for key, one, two, *row in zip(*(part[c].to_pylist() for c in ("key", "one", "two", "rep", "known", "grams")), strict=True):
-                    if (key, one, two) != held:
-                        close()
-                        held = key, one, two
-                    rows.append(row)
+        for _, rows in _by_group(batches, ("rep", "known", "grams")):
+            edges = forest([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["high", "low"])
-            edges.clear()
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["high", "low"])
 
     texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "digest")
     full = texts.mapInArrow(gather, "key long, one int, two int, rep long, known long, grams binary")
-    compared = full.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep").mapInArrow(compare, "high long, low long")
+    compared = _together(full).mapInArrow(compare, "high long, low long")
     return written(compared.distinct(), "links")[0]
 
 
@@ -345,12 +384,12 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
                         part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                         pa.array([d and int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
                         pa.array([s[: beginning(len(s))].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                        *(pa.array(x, pa.int64()) for x in least),
+                        pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(x, pa.int64()) for x in least),
                     ],
-                    ["doc_id", "n", "digest", "mark", "first", *turns],
+                    ["doc_id", "n", "digest", "mark", "first", "bits", *turns],
                 )
 
-    shape = "doc_id long, n long, digest binary, mark long, first array<long>, " + ", ".join(f"{t} long" for t in turns)
+    shape = "doc_id long, n long, digest binary, mark long, first array<long>, bits binary, " + ", ".join(f"{t} long" for t in turns)
     described, _ = written(docs.select("doc_id", "text").mapInArrow(describe, shape), "sets")
     known = described.where("digest is not null and doc_id is not null")
     classes, _ = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
@@ -358,23 +397,24 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     listed = known.select("digest", "mark", F.explode("first").alias("key"))
     shared, _ = written(listed.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("key"), "shared")
     postings, _ = written(listed.join(shared, "key").select("key", "digest").distinct(), "postings")
-    reps = classes.select("digest", "rep", "n")
-    candidates, _ = written(postings.select("digest").distinct().join(classes, "digest"), "candidates")
+    chosen = postings.select("digest").distinct().join(classes, "digest")
+    own = known.select("digest", F.col("doc_id").alias("rep"), "bits").join(chosen, ["digest", "rep"])
+    candidates, _ = written(own.dropDuplicates(["digest", "rep"]), "candidates")
 
     edges, roots = None, None
     for turn in (*turns, None):  # the last step looks at all n-grams of the beginnings
         if turn:
-            members = candidates.select(F.col(turn).alias("key"), "rep", "n", "digest")
+            members = candidates.select(F.col(turn).alias("key"), "rep", "n", "digest", "bits")
         else:
-            members = postings.join(reps, "digest").select("key", "rep", "n", "digest")
+            members = postings.join(candidates, "digest").select("key", "rep", "n", "digest", "bits")
         if roots is None:
             members = members.withColumn("known", F.col("rep"))
         else:
-            members = members.join(roots, members.rep == roots.node, "left").select("key", "rep", "n", "digest", F.coalesce("component", "rep").alias("known"))
+            members = members.join(roots, members.rep == roots.node, "left").select("key", "rep", "n", "digest", "bits", F.coalesce("component", "rep").alias("known"))
         found = _links(_mixed_buckets(members), docs, levels, gram)
         edges = found if edges is None else edges.unionByName(found)
         roots, _ = written(components(edges), "roots")
-    named, _ = written(reps.join(roots, reps.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
+    named, _ = written(classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
     return described.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("digest").isNull(), F.col("doc_id"))).alias("component_id")
     )

@@ -58,6 +58,7 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     want = {i: (len(s), groups[i]) for i, s in sets.items()}
     assert found(spark, texts) == want and len(set(groups.values())) < len(texts) - 40
     monkeypatch.setattr(P, "BLOCK", 100)  # several blocks in a bucket
+    monkeypatch.setattr(P, "MEMBERS", 10)
     monkeypatch.setattr(P, "TURNS", 1)  # more is left for the second step
     assert found(spark, texts) == want
 
@@ -96,6 +97,15 @@ def test_beginnings_share_an_ngram_whatever_the_order():
                 assert P.beginning(n) + least > n and P.beginning(m) + least > m
 
 
+def test_parities_bound_the_difference_from_below():
+    random.seed(4)
+    for _ in range(200):
+        a = {random.randrange(1 << 60) for _ in range(random.randrange(1, 300))}
+        b = set(random.sample(sorted(a), random.randrange(len(a)))) | {random.randrange(1 << 60) for _ in range(random.randrange(1, 60))}
+        bits = [np.frombuffer(P.parities(np.array(sorted(s), np.uint64)), np.uint64) for s in (a, b)]
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(a ^ b)
+
+
 def test_edge_rows(spark):
     frame = spark.createDataFrame(
         [(5, None, 1, "x"), (6, "", 1, "x"), (8, "one two", 1, "x"), (9, "ONE two", 1, "x"), (9, "ONE two", 1, "x"), (9, "other words", 1, "x"), (10, "x " * 60_000, 1, "x"), (None, "one two", 1, "x"), (None, "lonely", 1, "x")],

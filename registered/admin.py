@@ -16,7 +16,7 @@ from tallyloom.session import scratch_path
 from tallyloom.sources import tables, warehouse as wh
 from tallyloom.sources.labels import read_labels
 from tallyloom.sources.suite import read_suite
-from tallyloom.streaming import dedup, ingest
+from tallyloom.streaming import dedup, merged, ingest
 
 NOW = "2001-08-01 00:00:00"
 
@@ -188,6 +188,17 @@ def _(m: Marts):
     return dedup.settled_events(kept, dedup.settle(m.spark.read.text(folder), kept))
 
 
+@case("str01_merged_runs", "SELECT event_id, session_id, visitor_id, event_type, stock_code, event_ts, pii_detected, is_v2 FROM silver_events")
+def _(m: Marts):
+    """The feed in two deliveries, each merged by a run of its own into a table with one folder for each date."""
+    folder, out, mark = (scratch_path(m.spark, n) for n in ("feed", "merged", "mark"))
+    table, part = merged.MergedEvents(m.spark, out), F.pmod(F.xxhash64("value"), F.lit(3))
+    for delivery in (part > 0, part == 0):
+        m.event_lines.where(delivery).write.mode("append").text(folder)
+        table.run(folder, mark)
+    return table.events().drop("referrer")
+
+
 # ---- monitoring ----------------------------------------------------------------------------------
 
 CTES["audit_ledger"] = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +68,11 @@ def tagged_events(lines: DataFrame, accept_v3: bool = False) -> DataFrame:
     return tag(unify(parse_lines(lines), accept_v3), event_rules())
 
 
-def first_per_event(events: DataFrame) -> DataFrame:
-    """One row per event id under a total order. ``row_number = 1`` is cut inside each task before the
+def first_per_event(events: DataFrame, then: Sequence[str] = ()) -> DataFrame:
+    """One row per event id under a total order, ``then`` deciding between equal copies. ``row_number = 1`` is cut inside each task before the
     shuffle as well, so a million copies of one id send one row per task."""
     order = [F.asc_nulls_last(c) for c in ("event_ts", *[f for f in FIELDS if f not in ("event_id", "event_ts")])]
-    first = F.row_number().over(Window.partitionBy("event_id").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy("event_id").orderBy(*order, *then))
     return events.withColumn("_n", first).where(F.col("_n") == 1).drop("_n")
 
 

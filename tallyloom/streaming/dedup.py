@@ -16,9 +16,10 @@ COLUMNS = ["event_id", "session_id", "event_type", "event_ts"]
 def deduplicated(lines: DataFrame, accept_v3: bool = False, bound_hours: int = fv.LATE_BOUND_HOURS) -> DataFrame:
     """Clean events, one per id among those that arrive within the bound. The state holds an id only
     until the watermark passes it, so it is bounded by the traffic of the bound and not by history.
-    Events later than the bound do not get through here; ``settle`` finds them in what has landed."""
-    events = clean_rows(clickstream.tagged_events(lines, accept_v3)).withColumn(
-        "event_ts", F.col("event_ts").try_cast("timestamp")
+    Events later than the bound do not get through here; ``settle`` finds them in what has landed. Addresses in
+    referrers are redacted before a row is kept."""
+    events = clean_rows(clickstream.tagged_events(lines, accept_v3)).withColumns(
+        {"event_ts": F.col("event_ts").try_cast("timestamp"), "referrer": F.regexp_replace("referrer", fv.EMAIL_PATTERN, fv.REDACTION)}
     )
     return events.withWatermark("event_ts", f"{bound_hours} hours").dropDuplicatesWithinWatermark(["event_id"])
 

@@ -1,4 +1,6 @@
+import datetime
 import json
+import re
 
 import pytest
 from conftest import rows
@@ -9,7 +11,7 @@ from tallyloom.operators.quality import labelled, scorecard
 from tallyloom.plans.marts import Marts
 from tallyloom.session import scratch_path
 from tallyloom.sources import warehouse as wh
-from tallyloom.streaming import dedup
+from tallyloom.streaming import dedup, merged
 
 V1 = {"event_id": "1", "session_id": "s", "visitor_id": "v", "event_type": "view", "stock_code": "p", "event_ts": "2026-06-01T08:00:00", "referrer": "direct"}
 V2 = {"eventId": "2", "sessionId": "s", "visitorId": "v", "eventType": "purchase", "stockCode": "p", "eventTs": "2026-06-01T08:05:00", "referrer": "x?e=a.b@c.com", "currency": "GBP"}
@@ -113,3 +115,25 @@ def test_late_events_and_later_copies_are_settled(spark):
     assert {r.event_id: r.settled_as for r in settled.collect()} == {"d": "late", "c": "replaced"}
     batch = clickstream.silver_events(clickstream.tagged_events(landed))
     assert sorted(rows(dedup.settled_events(kept, settled))) == sorted(rows(batch.select(*dedup.COLUMNS)))
+
+
+def test_second_run_reads_the_touched_dates_only(spark, capsys):
+    def land(*events):
+        lines = [(json.dumps({"event_id": e, "session_id": "s", "visitor_id": v, "event_type": "view", "event_ts": t, "referrer": r}),) for e, v, t, r in events]
+        spark.createDataFrame(lines, "value STRING").coalesce(1).write.mode("append").text(folder)
+
+    folder, out, mark = (scratch_path(spark, n) for n in ("feed", "merged", "mark"))
+    table = merged.MergedEvents(spark, out, bound_days=1)
+    land(("a", "v2", "2026-03-01T10:00:00", "from x@y.com"), ("b", "v", "2026-03-05T10:00:00", None), ("c", "v", "2026-03-09T10:00:00", None), ("c", "v", "2026-03-09T10:00:00", None))
+    table.run(folder, mark)
+    assert table.stored().count() == 3
+    land(("a", "v2", "2026-03-01T10:00:00", "from x@y.com"), ("a", "v1", "2026-03-01T10:00:00", "q@z.org"), ("d", "v", "2026-03-02T10:00:00", None), ("", "v", "bad", None))
+    got = {r.event_id: (r.visitor_id, r.referrer) for r in table.run(folder, mark).collect()}
+    assert set(got) - {""} == {"a", "b", "c", "d"} and got["a"][0] == "v1" and "@" not in "".join(r[1] or "" for r in got.values())
+    assert {r.event_id: r.merged_as for r in table.stored().where("batch = 1").collect()} == {"a": "replaced", "d": "late"}
+    table.near([datetime.date(2026, 3, 1), datetime.date(2026, 3, 2)], 1).explain("formatted")
+    filters = re.search(r"PartitionFilters: \[(.*)\]", capsys.readouterr().out)[1]
+    assert "event_date" in filters and "2026-02-28" in filters and "2026-03-05" not in filters and "2026-03-09" not in filters
+    before = table.stored().count()
+    table.run(folder, mark)  # nothing new
+    assert table.stored().count() == before

@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from registered.base import CTES, case
 from registered.loop import corrections_of
-from registered.retail import d
+from registered.retail import RULE_NAMES, d
 from registered.scoring import results_of, scores_of
 from tallyloom import fixed_values as fv
 from tallyloom.operators import clickstream, monitoring, report
 from tallyloom.operators.faults import ground_truth
 from tallyloom.plans.marts import Marts
+from tallyloom.plans.refresh import StoredMarts, refresh_landed
 from tallyloom.session import scratch_path
 from tallyloom.sources import tables, warehouse as wh
 from tallyloom.sources.labels import read_labels
 from tallyloom.sources.suite import read_suite
-from tallyloom.streaming import dedup, merged, ingest
+from tallyloom.streaming import dedup, ingest, merged
 
 NOW = "2001-08-01 00:00:00"
 
@@ -199,6 +200,46 @@ def _(m: Marts):
     return table.events().drop("referrer")
 
 
+EVENT_RULES = {
+    "has_event_id": "event_id IS NOT NULL", "known_event_type": "coalesce(event_type IN ('view','add_to_cart','purchase'), FALSE)", "parseable_ts": "event_ts IS NOT NULL",
+}
+
+
+def landed_and_refreshed(m: Marts) -> StoredMarts:
+    """Sales and events delivered in two parts each, with a refresh behind each delivery."""
+    root, csv, lines = (scratch_path(m.spark, n) for n in ("medallion", "csv", "jsonl"))
+    headers = [F.col(n).alias(h) for h, n in fv.CSV_HEADERS.items()]
+    one, two = F.pmod(F.xxhash64("invoice"), F.lit(4)), F.pmod(F.xxhash64("value"), F.lit(4))
+    for sold, seen in ((one > 0, two > 0), (one == 0, two == 0)):
+        m.bronze_sales.where(sold).select(*headers).write.mode("append").option("header", True).csv(csv)
+        m.event_lines.where(seen).write.mode("append").text(lines)
+        refresh_landed(m.spark, csv, lines, root)
+    return StoredMarts(m.spark, root, m.tables)
+
+
+@case(
+    "dq07_refresh_expectations",
+    " UNION ALL ".join(
+        [f"SELECT 'sales' AS feed, '{n}' AS rule, count(*) FILTER (WHERE r{i}) AS passed, count(*) FILTER (WHERE NOT r{i}) AS failed FROM ruled_sales" for i, n in enumerate(RULE_NAMES, 1)]
+        + [f"SELECT 'events', '{n}', count(*) FILTER (WHERE {rule}), count(*) FILTER (WHERE NOT ({rule})) FROM seen_events" for n, rule in EVENT_RULES.items()]
+    ),
+)
+def _(m: Marts):
+    """The rule counts that the second refresh observed while it wrote its tables."""
+    return landed_and_refreshed(m).expectations
+
+
+@case(
+    "src01_refreshed_quarantine",
+    "SELECT reasons, count(*) AS rows, TRUE AS landing_known FROM (SELECT array_to_string(reasons, ',') AS reasons FROM tagged_events WHERE len(reasons) > 0) GROUP BY reasons",
+)
+def _(m: Marts):
+    """Quarantined events of refreshed tables by reason, and whether each carries the file and time it landed with."""
+    bad = landed_and_refreshed(m).quarantine_events
+    known = F.bool_and(F.col("_source_file").isNotNull() & F.col("_ingested_at").isNotNull())
+    return bad.groupBy(F.concat_ws(",", "quarantine_reasons").alias("reasons")).agg(F.count(F.lit(1)).alias("rows"), known.alias("landing_known"))
+
+
 # ---- monitoring ----------------------------------------------------------------------------------
 
 CTES["audit_ledger"] = """

@@ -85,9 +85,9 @@ def expectation_counts(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def observed(df: DataFrame, rules: Rules, name: str) -> tuple[DataFrame, Observation]:
-    """The same counts collected while the rows flow to their sink (no extra pass)."""
+    """Rows and failures of each rule, collected while the rows flow to their sink (no extra pass)."""
     seen = Observation(name)
-    return df.observe(seen, *[F.count_if(~passes(rule)).alias(n) for n, rule in rules.items()]), seen
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(~passes(rule)).alias(n) for n, rule in rules.items()]), seen
 
 
 def reason_mix(quarantined: DataFrame) -> DataFrame:

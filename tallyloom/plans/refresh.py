@@ -1,16 +1,24 @@
-"""The medallion refresh as a job: every layer is written once and the next one reads what was written."""
+"""The medallion refresh as a job: every layer is written once and the next one reads what was written.
+
+A run writes into a folder of its own and is published at the end by one new file, so readers see the layers of one run
+and a run that fails leaves the last published one in place. The rule counts of a run are observed while its rows flow
+to their tables; landing file and time of a row go with it into quarantine.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
-from tallyloom.operators import clickstream, sales
+from tallyloom.operators import clickstream, quality, sales
 from tallyloom.plans.marts import Marts
 from tallyloom.sources.warehouse import Warehouse
+from tallyloom.streaming import ingest
 
 STORED = [
     "silver_sales", "quarantine_sales", "dim_products", "fact_sales", "daily_revenue", "customer_rfm",
@@ -18,51 +26,104 @@ STORED = [
 ]
 
 
-def _store(df: DataFrame, root: str, name: str) -> DataFrame:
-    path = f"{root}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def publish(spark: SparkSession, root: str, run: str) -> None:
+    """Name a finished run. Creating the file is the one step that readers can see."""
+    files, place = _files(spark, f"{root}/_published/{run}")
+    files.create(place, False).close()
+
+
+def published(spark: SparkSession, root: str) -> str:
+    """The folder of the last published run; runs are named by the time they began."""
+    files, place = _files(spark, f"{root}/_published")
+    names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    if not names:
+        raise FileNotFoundError(f"no published run under {root}")
+    return f"{root}/{max(names)}"
+
+
+def _store(df: DataFrame, home: str, name: str) -> DataFrame:
+    path = f"{home}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _split(tagged: DataFrame, root: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Tag once, write by verdict, read the halves by partition: neither half repeats the tagging."""
-    path = f"{root}/{name}"
-    tagged.write.mode("overwrite").partitionBy("is_quarantined").parquet(path)
+def _split(tagged: DataFrame, rules: quality.Rules, home: str, name: str) -> tuple[DataFrame, DataFrame, list[tuple]]:
+    """Tag once, write by verdict, read the halves by partition: neither half repeats the tagging. The rows of each rule
+    are counted on their way; returns the table, its quarantined half and (feed, rule, passed, failed)."""
+    path = f"{home}/{name}"
+    watched, seen = quality.observed(tagged, rules, f"{name}-{uuid.uuid4().hex}")
+    watched.write.partitionBy("is_quarantined").parquet(path)
+    failed = dict(seen.get)
+    rows = failed.pop("rows")
     stored = tagged.sparkSession.read.schema(tagged.schema).parquet(path)
-    return stored, stored.where(F.col("is_quarantined"))
+    return stored, stored.where(F.col("is_quarantined")), [(name.removeprefix("tagged_"), rule, rows - n, n) for rule, n in failed.items()]
 
 
 def refresh(
     bronze_sales: DataFrame, event_lines: DataFrame, root: str,
     accept_v3: bool = False, bot_min_views: int = fv.BOT_MIN_VIEWS,
 ) -> list[str]:
-    """Bronze → tagged → silver and quarantine → gold, all under ``root``. Returns the table names."""
-    tagged, bad = _split(sales.tagged_sales(bronze_sales), root, "tagged_sales")
-    silver = _store(sales.silver_sales(tagged), root, "silver_sales")
-    _store(bad, root, "quarantine_sales")
-    _store(sales.dim_products(silver), root, "dim_products")
-    facts = _store(sales.fact_sales(silver), root, "fact_sales")
-    _store(sales.daily_revenue(facts), root, "daily_revenue")
-    _store(sales.customer_rfm(facts), root, "customer_rfm")
-
-    events, bad_events = _split(clickstream.tagged_events(event_lines, accept_v3), root, "tagged_events")
-    silver_events = _store(clickstream.silver_events(events), root, "silver_events")
-    _store(bad_events, root, "quarantine_events")
-    sessions = _store(clickstream.sessions(silver_events, bot_min_views), root, "sessions")
-    _store(clickstream.funnel_daily(sessions), root, "funnel_daily")
+    """Bronze → tagged → silver and quarantine → gold, in a new run under ``root``. Returns the table names.
+
+    ``expectations`` (feed, rule, passed, failed) is written beside them.
+    """
+    spark = bronze_sales.sparkSession
+    run = f"run-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    home = f"{root}/{run}"
+    tagged, bad, sales_counts = _split(sales.tagged_sales(bronze_sales), quality.sales_rules(), home, "tagged_sales")
+    silver = _store(sales.silver_sales(tagged), home, "silver_sales")
+    _store(bad, home, "quarantine_sales")
+    _store(sales.dim_products(silver), home, "dim_products")
+    facts = _store(sales.fact_sales(silver), home, "fact_sales")
+    _store(sales.daily_revenue(facts), home, "daily_revenue")
+    _store(sales.customer_rfm(facts), home, "customer_rfm")
+
+    events, bad_events, event_counts = _split(clickstream.tagged_events(event_lines, accept_v3), quality.event_rules(), home, "tagged_events")
+    silver_events = _store(clickstream.silver_events(events), home, "silver_events")
+    _store(bad_events, home, "quarantine_events")
+    sessions = _store(clickstream.sessions(silver_events, bot_min_views), home, "sessions")
+    _store(clickstream.funnel_daily(sessions), home, "funnel_daily")
+
+    counts = spark.createDataFrame(sales_counts + event_counts, "feed STRING, rule STRING, passed BIGINT, failed BIGINT")
+    _store(counts, home, "expectations")
+    publish(spark, root, run)
     return STORED
 
 
+def refresh_landed(
+    spark: SparkSession, sales_folder: str, events_folder: str, root: str,
+    accept_v3: bool = False, bot_min_views: int = fv.BOT_MIN_VIEWS,
+) -> list[str]:
+    """Take in the files that have landed since the last time, then refresh from all of bronze. Bronze tables and the
+    checkpoints that tell new files from old ones lie under ``root``."""
+    bronze = ingest.ingest_sales(spark, sales_folder, f"{root}/bronze_sales", f"{root}/_marks/sales")
+    lines = ingest.ingest_events(spark, events_folder, f"{root}/bronze_events", f"{root}/_marks/events")
+    return refresh(bronze, lines, root, accept_v3, bot_min_views)
+
+
 class StoredMarts(Marts):
-    """The same graph read from the refreshed tables; only what lies above them is derived."""
+    """The same graph read from the tables of the run that was published last when this was made; only what lies above
+    them is derived."""
 
     def __init__(self, spark: SparkSession, root: str, tables: Warehouse):
         super().__init__(tables)
-        self.root = root
+        self.home = published(spark, root)
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.home}/{name}")
+
+    @property
+    def expectations(self) -> DataFrame:
+        return self.table("expectations")
 
 
 def _stored(name: str) -> cached_property:
-    prop = cached_property(lambda self: self.spark.read.parquet(f"{self.root}/{name}"))
+    prop = cached_property(lambda self: self.table(name))
     prop.__set_name__(StoredMarts, name)
     return prop
 
@@ -71,4 +132,4 @@ for _name in STORED:
     setattr(StoredMarts, _name, _stored(_name))
 
 
-__all__ = ["STORED", "StoredMarts", "refresh"]
+__all__ = ["STORED", "StoredMarts", "publish", "published", "refresh", "refresh_landed"]

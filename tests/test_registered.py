@@ -5,6 +5,7 @@ import re
 import pytest
 from compare import connect, difference
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tallyloom.operators import report
@@ -49,6 +50,19 @@ def test_refresh_writes_what_the_marts_derive(spark, marts):
     assert sorted(map(tuple, stored.monthly_summary.select(*same).collect())) == sorted(map(tuple, marts.monthly_summary.select(*same).collect()))
 
 
+def test_failed_refresh_leaves_the_published_run(spark, marts):
+    root = scratch_path(spark, "medallion")
+    refresh(marts.bronze_sales.limit(50), marts.event_lines.limit(50), root)
+    before = StoredMarts(spark, root, marts.tables)
+    broken = marts.event_lines.limit(50).withColumn("value", F.raise_error(F.lit("feed is down")).cast("string"))
+    with pytest.raises(Exception, match="feed is down"):
+        refresh(marts.bronze_sales.limit(10), broken, root)
+    after = StoredMarts(spark, root, marts.tables)
+    assert after.home == before.home and sum(r.passed + r.failed for r in after.expectations.where("rule = 'has_event_id'").collect()) == 50
+    refresh(marts.bronze_sales.limit(10), marts.event_lines.limit(20), root)
+    assert StoredMarts(spark, root, marts.tables).home > before.home and before.quarantine_events.count() >= 0
+
+
 def test_report_window_ends_now_or_at_midnight():
     from datetime import date, datetime
 

@@ -28,8 +28,8 @@ PORTION = 1 << 16
 LEVEL_BITS = 6
 TURNS = 2  # smallest n-grams under other orders, by which most links are found first
 BLOCK = 2_000_000  # n-grams of the sets that one task holds, twice
-BITS = 1024  # of a set's parities
-MEMBERS = 4096  # members whose parities one task holds, twice
+BITS = 256  # of a set's parities at least; larger sets have as many as n-grams, rounded up to a power of two
+ROOM = 1 << 28  # bits of parities that one task holds, twice
 SLICE = 256
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -83,21 +83,24 @@ def order_table(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
             counts = totals[part * PORTION : (part + 1) * PORTION]
             used = np.flatnonzero(counts)
             if len(used):
-                row = [pa.array([part], pa.int32()), pa.array([used.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[used].astype(np.uint32 if counts.max() < 1 << 32 else np.int64).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["part", "used", "counts"])
+                kind = np.min_scalar_type(int(counts.max()))  # a byte for each count, mostly
+                dense = len(used) * 3 > PORTION
+                listed = b"" if dense else used.astype(np.uint16).tobytes()
+                row = [pa.array([part], pa.int32()), pa.array([listed], pa.binary()), pa.array([(counts if dense else counts[used]).astype(kind).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*row, pa.array([kind.itemsize], pa.int32())], ["part", "used", "counts", "width"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, used, counts in zip(*(batch[c].to_pylist() for c in ("part", "used", "counts")), strict=True):
-                at = np.frombuffer(used, np.uint16)
+            for part, used, counts, width in zip(*(batch[c].to_pylist() for c in ("part", "used", "counts", "width")), strict=True):
+                at = np.frombuffer(used, np.uint16) if used else slice(None)  # all of them
                 total = sums.setdefault(part, np.zeros(PORTION, np.int64))
-                total[at] += np.frombuffer(counts, np.int64 if len(counts) == 8 * len(at) else np.uint32).astype(np.int64)
+                total[at] += np.frombuffer(counts, f"u{width}").astype(np.int64)
         for part, total in sums.items():
             quarters = np.ceil(4 * np.log2(total + 1.0)).astype(np.uint8)  # to a fifth is enough for a level
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([int(total.sum())], pa.int64()), pa.array([quarters.tobytes()], pa.binary())], ["part", "total", "quarters"])
 
-    portions = docs.select("text").where("text is not null").mapInArrow(count, "part int, used binary, counts binary")
+    portions = docs.select("text").where("text is not null").mapInArrow(count, "part int, used binary, counts binary, width int")
     sums = portions.repartition(SLOTS // PORTION, "part").mapInArrow(add, "part int, total long, quarters binary")
     quarters, total = np.zeros(SLOTS, np.uint8), 0
     for row in sums.collect():  # 64 rows of 64 KB
@@ -254,9 +257,33 @@ def forest(reps: list[int], known: list[int], sets: list[np.ndarray]) -> list[tu
 
 
 def parities(grams: np.ndarray) -> bytes:
-    """For each of ``BITS`` remainders, whether an odd number of n-grams has it. Where two sets' parities differ there is
-    an n-gram of one set alone, so sets differ by at least as many n-grams as bits."""
-    return np.packbits((np.bincount((_mixed(grams) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+    """For each remainder by the number of bits, whether an odd number of n-grams has it. Where two sets' parities differ
+    there is an n-gram of one set alone, so sets differ by at least as many n-grams as bits. Twice as many bits fold into
+    those of half the width by exclusive or."""
+    width = max(BITS, 1 << (len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((_mixed(grams) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(bool)).tobytes()
+
+
+def plausible(sizes: np.ndarray, known: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which sets can be near enough to one of another component, by sizes and parities: 9 times the difference is at
+    most the sum of both sizes. Sets whose widths differ by more than a factor of two differ too much in size."""
+    widths = np.array([len(b) for b in bits])
+    kept = np.zeros(len(bits), bool)
+    for width in np.unique(widths):
+        own, wider = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+        one = np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(len(own), width // 8)
+        two = np.frombuffer(b"".join(bits[k] for k in wider), np.uint64).reshape(len(wider), 2, width // 8)
+        other, all_bits = np.append(own, wider), np.concatenate([one, two[:, 0] ^ two[:, 1]])
+        step = max(1, (1 << 22) // max(1, all_bits.size))
+        for begin in range(0, len(own), step):
+            at = own[begin : begin + step]
+            differ = np.bitwise_count(one[begin : begin + step, None, :] ^ all_bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            both = sizes[at, None] + sizes[None, other]
+            small, large = np.minimum(sizes[at, None], sizes[None, other]), np.maximum(sizes[at, None], sizes[None, other])
+            near = (known[at, None] != known[None, other]) & ((T_UP + T_DOWN) * differ <= (T_DOWN - T_UP) * both) & (T_DOWN * small >= T_UP * large)
+            kept[at] |= near.any(axis=1)
+            kept[other] |= near.any(axis=0)
+    return kept
 
 
 def _dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
@@ -289,25 +316,16 @@ def _together(dealt: DataFrame) -> DataFrame:
 
 
 def _plausible(members: DataFrame) -> DataFrame:
-    """The members (key, rep, n, digest, known, bits) of which, by sizes and parities, some set of another component in
-    the bucket can be near enough: 9 times the difference is at most the sum of both sizes."""
+    """The members (key, rep, n, digest, known, bits) that ``plausible`` leaves in their buckets."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, _, _), rows in _by_group(batches, ("rep", "n", "known", "bits")):
             reps, sizes, known = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-            bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-            kept = np.zeros(len(rows), bool)
-            for begin in range(0, len(rows), 64):
-                of = slice(begin, begin + 64)
-                differ = np.bitwise_count(bits[of, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-                both = sizes[of, None] + sizes[None, :]
-                small, large = np.minimum(sizes[of, None], sizes[None, :]), np.maximum(sizes[of, None], sizes[None, :])
-                near = (known[of, None] != known[None, :]) & ((T_UP + T_DOWN) * differ <= (T_DOWN - T_UP) * both) & (T_DOWN * small >= T_UP * large)
-                kept[of] = near.any(axis=1)
-            found = reps[kept]
+            found = reps[plausible(sizes, known, [r[3] for r in rows])]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key), pa.int64()), pa.array(found)], ["key", "rep"])
 
-    flagged = _together(_dealt(members.select("key", "rep", "n", "known", "bits"), F.lit(1), MEMBERS)).mapInArrow(judge, "key long, rep long")
+    weight = 8 * F.octet_length("bits").cast("long")
+    flagged = _together(_dealt(members.select("key", "rep", "n", "known", "bits"), weight, ROOM)).mapInArrow(judge, "key long, rep long")
     kept, _ = written(flagged.distinct(), "plausible")
     return members.drop("bits").join(kept, ["key", "rep"])
 

@@ -12,6 +12,7 @@ from tallyloom.plans.marts import Marts
 from tallyloom.plans.router_job import RouterJob
 from tallyloom.session import scratch_path
 from tallyloom.sources import warehouse as wh
+from tallyloom.sources.tables import SnapshotTable, change_log, undo
 from tallyloom.sources.suite import with_strata
 
 # ---- evaluation ----------------------------------------------------------------------------------
@@ -126,6 +127,26 @@ def _(m: Marts):
     return evals.rollback_decision(scores_of(m), "run1", "run2", "run3")
 
 
+@case(
+    "evl08_rolled_back_proposals",
+    f"SELECT term, entity, CASE WHEN confidence >= 0.5 AND (SELECT verdict FROM ({lift_sql('run1', 'run2')})) <> 'ROLLBACK' THEN 'applied' ELSE status END AS status, "
+    "CASE WHEN distinct_users = 3 THEN evidence_count + 10 ELSE evidence_count END AS evidence_count FROM part_proposals",
+)
+def _(m: Marts):
+    """The stored proposals after a judged change (strong ones applied), a later one (new evidence) and the gate."""
+    table = SnapshotTable(m.spark, scratch_path(m.spark, "proposals"), "term STRING")
+    key = ["term", "entity"]
+    table.publish(wh.part_proposals(m.tables))
+    before = table.versions()[-1]
+    table.change(lambda old: old.withColumn("status", F.when(F.col("confidence") >= 0.5, "applied").otherwise(F.col("status"))))
+    after = table.versions()[-1]
+    table.change(lambda old: old.withColumn("evidence_count", F.when(F.col("distinct_users") == 3, F.col("evidence_count") + 10).otherwise(F.col("evidence_count"))))
+    if evals.lift(scores_of(m), "run1", "run2").first()["verdict"] == "ROLLBACK":
+        log = change_log(table.read(before), table.read(after), key)
+        table.change(lambda now: undo(now, log, key))
+    return table.read().select("term", "entity", "status", "evidence_count")
+
+
 GOLDEN = "SELECT country, sum(line_amount) AS net_revenue FROM fact_sales GROUP BY country"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import drift, escalation, evals, novelty, telemetry
-from tallyloom.sources.tables import AppendLog, SnapshotTable, insert_only, row_id, update_only, upsert
+from tallyloom.sources.tables import AppendLog, SnapshotTable, change_log, insert_only, row_id, undo, update_only, upsert
 
 CORRECTIONS = "term STRING, entity STRING, `user` STRING, role STRING, ts DOUBLE, source_message_id STRING"
 PROPOSALS = (
@@ -59,17 +59,29 @@ class LearningLoop:
         moves = done.select("term", "entity", F.lit("approved" if dry_run else "applied").alias("status"))
         return self.proposals.change(lambda old: update_only(old, moves, ["term", "entity"]))
 
-    def evaluate(self, scores: DataFrame, baseline: str, changed: str, before: int, at: str) -> str:
-        """Compare two benchmark runs; where the gate trips, the proposals of version ``before`` are restored. The
-        verdict goes to the ledger. Running it again on the same runs changes nothing."""
+    def evaluate(self, scores: DataFrame, baseline: str, changed: str, before: int, at: str, after: int | None = None) -> str:
+        """Compare two benchmark runs; where the gate trips, what happened to the proposals between the versions
+        ``before`` and ``after`` (the latest unless named) is undone, and what has been learned since stays.
+
+        The intent goes to the ledger first and the verdict last. Undoing is the inverse of the logged change, so a run
+        that died in between can be run again; one that has its verdict changes nothing.
+        """
         verdict = evals.lift(scores, baseline, changed).first()["verdict"]
-        undone = verdict == "ROLLBACK"
-        entry = [("evaluation_gate", "proposals", f"{baseline}>{changed}", f"version {before}", "rolled_back" if undone else "kept", "auto")]
-        row = self.spark.createDataFrame(entry, "action STRING, target STRING, proposal_key STRING, payload STRING, status STRING, approver STRING")
-        known = self.ledger.read().where(F.col("proposal_key") == f"{baseline}>{changed}") if self.ledger.exists() else None
-        if undone and (known is None or known.isEmpty()):
-            self.proposals.restore(before)
-        self._record(row.withColumn("ts", F.lit(at).cast("timestamp")))
+        undone, key = verdict == "ROLLBACK", f"{baseline}>{changed}"
+        after = (self.proposals.versions() or [0])[-1] if after is None else after
+
+        def note(action: str, status: str) -> None:
+            entry = [(action, "proposals", key, f"versions {before} to {after}", status, "auto")]
+            row = self.spark.createDataFrame(entry, "action STRING, target STRING, proposal_key STRING, payload STRING, status STRING, approver STRING")
+            self._record(row.withColumn("ts", F.lit(at).cast("timestamp")))
+
+        if self.ledger.exists() and not self.ledger.read().where((F.col("proposal_key") == key) & (F.col("action") == "evaluation_gate")).isEmpty():
+            return verdict
+        if undone:
+            note("evaluation_intent", "rolling_back")
+            log = change_log(self.proposals.read(before), self.proposals.read(after), ["term", "entity"])
+            self.proposals.change(lambda now: undo(now, log, ["term", "entity"]))
+        note("evaluation_gate", "rolled_back" if undone else "kept")
         return verdict
 
     def escalate(self, messages: DataFrame, now: float, at: str) -> DataFrame:

@@ -161,6 +161,36 @@ def guarded_transition(
     return update_only(old, moves, key, F.col(state) == expected)
 
 
+def change_log(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """What a change did: (key, change, before, after), one row for each key that came, went or got other values. Both
+    sides hold one row per key; NULLs are values like any other."""
+    rest = [c for c in old.columns if c not in key]
+    before = old.select(*key, F.struct(*rest).alias("before"))
+    after = new.select(*key, F.struct(*rest).alias("after"))
+    kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
+    return before.join(after, key, "full_outer").where(~F.col("before").eqNullSafe(F.col("after"))).select(*key, kind.alias("change"), "before", "after")
+
+
+def undo(now: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
+    """The table without a logged change, and with all that has changed since.
+
+    A column goes back to what it was where it still holds what the change gave it; a row that the change added goes if
+    nothing has touched it since, and a row it removed comes back if its key is free. Undoing twice is undoing once.
+    """
+    rest = [c for c in now.columns if c not in key]
+    current = now.select(*key, F.struct(*rest).alias("_now"))
+    met = current.join(log, key, "full_outer")
+    kind, was, became = F.col("change"), F.col("before"), F.col("after")
+
+    def settled(c: str) -> Column:
+        back = (kind == "update") & F.col("_now")[c].eqNullSafe(became[c])
+        return F.when(F.col("_now").isNull(), was[c]).when(back, was[c]).otherwise(F.col("_now")[c]).alias(c)
+
+    gone = F.coalesce((kind == "insert") & F.col("_now").eqNullSafe(became), F.lit(False))
+    there = F.col("_now").isNotNull() | (kind == "delete")
+    return met.where(there & ~gone).select(*key, *[settled(c) for c in rest]).select(*now.columns)
+
+
 def with_columns_of(spark: SparkSession, table: str, wanted: dict[str, str]) -> DataFrame:
     """Read a catalog table defensively: a missing table gives no rows, a missing column gives NULL.
     The check looks at the schema while the plan is built and reads no data."""

@@ -215,6 +215,19 @@ def test_repeated_healing_and_a_rollback(spark):
     assert rows(loop.ledger.read().where("action = 'evaluation_gate'").select("status")) == [("rolled_back",)]
 
 
+def test_a_later_change_survives_the_rollback(spark):
+    shape = "k STRING, v INT, status STRING"
+    frame = lambda *r: spark.createDataFrame(list(r), shape)
+    old = frame(("a", 1, "new"), ("b", 2, "new"), ("c", None, "new"), ("gone", 4, "new"), ("same", 5, "new"))
+    judged = frame(("a", 1, "applied"), ("b", 9, "applied"), ("c", 3, "new"), ("same", 5, "new"), ("added", 6, "new"), ("touched", 7, "new"))
+    log = tables.change_log(old, judged, ["k"])
+    assert dict(rows(log.select("k", "change"))) == {"a": "update", "b": "update", "c": "update", "gone": "delete", "added": "insert", "touched": "insert"}
+    later = frame(("a", 1, "applied"), ("b", 8, "applied"), ("c", 3, "held"), ("same", 5, "held"), ("added", 6, "new"), ("touched", 7, "held"), ("learned", 1, "new"))
+    want = [("a", 1, "new"), ("b", 8, "new"), ("c", None, "held"), ("gone", 4, "new"), ("learned", 1, "new"), ("same", 5, "held"), ("touched", 7, "held")]
+    once = tables.undo(later, log, ["k"])
+    assert sorted(rows(once)) == want and sorted(rows(tables.undo(once, log, ["k"]))) == want
+
+
 def test_copies_keep_a_row_as_it_was(spark):
     df = spark.createDataFrame([("f1", 9, "k"), ("f2", 1, "k")], "f STRING, n INT, k STRING")
     assert rows(quality.without_copies(df, ["k"])) == [("f1", 9, "k")]

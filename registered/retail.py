@@ -161,7 +161,7 @@ def _(m: Marts):
     "(SELECT count(*) FROM silver_events WHERE pii_detected) AS pii_caught, (SELECT count(*) FROM sessions WHERE is_bot) AS bot_sessions",
 )
 def _(m: Marts):
-    return clickstream.feed_counts(m.tagged_events, m.silver_events, m.sessions)
+    return clickstream.feed_counts(m.tagged_events, m.bot_min_views)
 
 
 def score_sql(flagged: str, labelled: str, key: str) -> str:
@@ -195,8 +195,7 @@ def _(m: Marts):
     ),
 )
 def _(m: Marts):
-    truth = m.silver_events.join(quality.labelled(m.event_truth, "bot_session"), "event_id", "left_semi")
-    return quality.scorecard(m.sessions.where("is_bot").select("session_id"), truth.select("session_id"), "session_id")
+    return clickstream.bot_scorecard(m.silver_events, quality.labelled(m.event_truth, "bot_session"), m.bot_min_views)
 
 
 @case(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import fixed_values as fv
 from tallyloom.functions.numbers import ratio
-from tallyloom.operators.quality import event_rules, quarantined_rows, tag
+from tallyloom.operators.quality import event_rules, quarantined_rows, score_flags, tag
 
 # One explicit union of every shape the feed has had: the plan does not depend on which files arrived.
 EVENT_SCHEMA = """
@@ -144,16 +144,42 @@ def stacked_sum(parts: list[DataFrame], names: list[str]) -> DataFrame:
     return rows.agg(*[F.sum(n).alias(n) for n in names])
 
 
-def feed_counts(tagged: DataFrame, silver: DataFrame, all_sessions: DataFrame) -> DataFrame:
-    """One row: bronze, silver, quarantined, leak and bot counts. Tagging keeps one row per line, so
-    the bronze count comes from the same pass as the quarantine count."""
+def session_facts(tagged: DataFrame) -> DataFrame:
+    """One row per session (and one for the lines of events without a clean copy): lines, quarantined lines, events,
+    events with an address, views and purchases.
+
+    The lines are parsed once and aggregated twice, by event and by session; the copy that stands for an event is the
+    least one in the order of ``first_per_event``, a minimum that each task takes before the shuffle.
+    """
+    order = ["event_ts", *[f for f in FIELDS if f not in ("event_id", "event_ts")]]
+    parts = [c for name in order for c in (F.col(name).isNull().alias(f"no_{name}"), F.col(name))]  # NULLs last
     rows = F.count(F.lit(1))
-    parts = [
-        tagged.agg(rows.alias("bronze_events"), F.count_if("is_quarantined").alias("quarantined")),
-        silver.agg(rows.alias("silver_events"), F.count_if("pii_detected").alias("pii_caught")),
-        all_sessions.agg(F.count_if("is_bot").alias("bot_sessions")),
-    ]
-    return stacked_sum(parts, ["bronze_events", "silver_events", "quarantined", "pii_caught", "bot_sessions"])
+    events = tagged.groupBy("event_id").agg(
+        rows.alias("lines"), F.count_if("is_quarantined").alias("quarantined"), F.min(F.when(~F.col("is_quarantined"), F.struct(*parts))).alias("first")
+    )
+    pii = F.coalesce(F.col("first.referrer").rlike(fv.EMAIL_PATTERN), F.lit(False))
+    return events.groupBy(F.col("first.session_id").alias("session_id"), F.col("first.visitor_id").alias("visitor_id")).agg(
+        F.sum("lines").alias("lines"), F.sum("quarantined").alias("quarantined"), F.count("first").alias("events"), F.count_if(pii).alias("pii"),
+        F.count_if(F.col("first.event_type") == "view").alias("n_views"), F.count_if(F.col("first.event_type") == "purchase").alias("n_purchases"),
+    )
+
+
+def feed_counts(tagged: DataFrame, bot_min_views: int = fv.BOT_MIN_VIEWS) -> DataFrame:
+    """One row: bronze, silver, quarantined, leak and bot counts, from one pass over the feed."""
+    bot = (F.col("n_views") >= bot_min_views) & (F.col("n_purchases") == 0)
+    total = {"bronze_events": "lines", "silver_events": "events", "quarantined": "quarantined", "pii_caught": "pii"}
+    return session_facts(tagged).agg(*[F.sum(c).alias(name) for name, c in total.items()], F.count_if(bot).alias("bot_sessions"))
+
+
+def bot_scorecard(silver: DataFrame, labelled_events: DataFrame, bot_min_views: int = fv.BOT_MIN_VIEWS) -> DataFrame:
+    """Sessions the rule flags against sessions with a labelled event, from one pass over the events."""
+    marked = silver.join(labelled_events.select("event_id", F.lit(1).alias("_labelled")), "event_id", "left")
+    visits = marked.groupBy("session_id", "visitor_id").agg(
+        F.count_if(F.col("event_type") == "view").alias("views"), F.count_if(F.col("event_type") == "purchase").alias("purchases"),
+        F.coalesce(F.max("_labelled"), F.lit(0)).alias("t"),
+    )
+    bot = ((F.col("views") >= bot_min_views) & (F.col("purchases") == 0)).cast("int")
+    return score_flags(visits.groupBy("session_id").agg(F.max(bot).alias("f"), F.max("t").alias("t")))
 
 
 def reconciliation(truth: DataFrame, tagged: DataFrame, silver: DataFrame) -> DataFrame:

@@ -112,7 +112,11 @@ def scorecard(flags: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     stacked = flags.select(key, F.lit(1).alias("f"), F.lit(0).alias("t")).unionByName(
         truth.select(key, F.lit(0).alias("f"), F.lit(1).alias("t"))
     )
-    per_key = stacked.groupBy(key).agg(F.max("f").alias("f"), F.max("t").alias("t"))
+    return score_flags(stacked.groupBy(key).agg(F.max("f").alias("f"), F.max("t").alias("t")))
+
+
+def score_flags(per_key: DataFrame) -> DataFrame:
+    """The scorecard of rows that are flagged (f = 1) and labelled (t = 1) or not."""
     both = F.count_if((F.col("f") == 1) & (F.col("t") == 1))
     return per_key.agg(
         both.alias("tp"), F.count_if(F.col("f") == 1).alias("flagged"), F.count_if(F.col("t") == 1).alias("labeled")

@@ -23,7 +23,6 @@ AT_ONCE = 256  # queries that are compared with them at once
 EVEN = 1.001  # lengths up to this multiple of the median are one band
 STEP = 1.15  # from one longer band to the next
 ALL = -1  # the turn of what every query is compared with
-SMALL = 256  # classes that are compared without hashing
 
 
 def _hadamard(rows: np.ndarray) -> np.ndarray:
@@ -90,7 +89,7 @@ def nearest(
     of a class only the ``top`` + 1 smallest ids can be in a result, so these are all that is kept of it, however many
     copies there are; every query keeps its own answer. Vectors of another length than the commonest take no part.
     Only directions are hashed. Vectors longer than the median are dealt to bands of their own (``band_probes``), those
-    beyond the last band, and tables of up to ``SMALL`` classes, are compared with every query. A query that gets
+    beyond the last band are compared with every query. Where scores tie, ids decide, in each block and between blocks. A query that gets
     fewer than ``top`` rows, or all others if they are fewer, is compared with all rows. A bucket beyond ``BLOCK``
     members is dealt to several tasks, and its queries to each of them; queries stream through in blocks. The classes
     are sent once for each table and the query classes once for each probe, band and block. No rows, or no queries,
@@ -110,8 +109,8 @@ def nearest(
     )
     asked, _ = written(found.where(is_query).join(classes.select("v", "rep"), "v").select("vec_id", "rep"), "asked")
     long = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    n_classes, n_rows, median = classes.agg(F.count("*"), F.sum(F.size("members")), F.percentile_approx(long, 0.5, 10000)).first()
-    wide = band_probes(dim, probes) if n_classes > SMALL else []
+    n_rows, median = classes.agg(F.sum(F.size("members")), F.percentile_approx(long, 0.5, 10000)).first()
+    wide = band_probes(dim, probes)
     band = F.lit(len(wide))  # the band without hashing
     for b in reversed(range(len(wide))):
         band = F.when(long <= median * EVEN * STEP**b, b).otherwise(band)
@@ -167,13 +166,19 @@ def nearest(
                 for one in range(begin, stop, AT_ONCE):
                     q, own = values[one : min(one + AT_ONCE, stop)], reps[one : min(one + AT_ONCE, stop)]
                     rough = q @ matrix.T
-                    n = min(top + 4, rough.shape[1])
-                    best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                    score = np.zeros(best.shape)
+                    n = min(top + 1, rough.shape[1])
+                    kth = -np.partition(-rough, n - 1, axis=1)[:, n - 1]
+                    # rough products differ from exact ones by rounding; what may tie with the last one stays until ids decide
+                    slack = 4e-16 * (dim + 1) * np.linalg.norm(q, axis=1) * np.linalg.norm(matrix, axis=1).max()
+                    asked_at, found_at = np.nonzero(rough >= (kth - 2 * slack)[:, None])
+                    score = np.zeros(len(asked_at))
                     for d in range(dim):  # one order of summation, so that a pair has one score wherever it meets
-                        score += q[:, d : d + 1] * matrix[best, d]
+                        score += q[asked_at, d] * matrix[found_at, d]
+                    order = np.lexsort((names[found_at], -score, asked_at))
+                    asked_at, found_at, score = asked_at[order], found_at[order], score[order]
+                    kept = np.arange(len(asked_at)) - np.searchsorted(asked_at, asked_at) <= top
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(own, n)), pa.array(names[best].reshape(-1)), pa.array(score.reshape(-1))], ["asked", "rep", "score"]
+                        [pa.array(own[asked_at[kept]]), pa.array(names[found_at[kept]]), pa.array(score[kept])], ["asked", "rep", "score"]
                     )
 
     def searched(members: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:

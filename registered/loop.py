@@ -7,6 +7,7 @@ from tallyloom import fixed_values as fv
 from tallyloom.operators import drift, escalation, metric_view, novelty, telemetry
 from tallyloom.operators.drift import role_weights
 from tallyloom.plans.marts import Marts
+from tallyloom.session import scratch_path
 from tallyloom.sources import warehouse as wh
 
 NOW = 1767830400.0
@@ -103,6 +104,20 @@ def _(m: Marts):
     return telemetry.flatten_conversations(packed_conversations(m))
 
 
+@case(
+    "tel01_nested_export",
+    "SELECT 'c' || conv_id AS conversation_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id, turn // 200 ORDER BY turn, role, text) - 1 AS position FROM conversations",
+)
+def _(m: Marts):
+    """Every turn of every conversation, users and assistants, exported in nested lines and read back by position."""
+    turns = m.tables("conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conversation_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content")
+    )
+    path = scratch_path(m.spark, "export")
+    telemetry.export_pages(turns).write.text(path)
+    return telemetry.read_export(m.spark.read.text(path)).select("conversation_id", "turn", "role", "content", "position")
+
+
 ROLES = "SELECT 'u' || c_custkey AS user_id, min(c_mktsegment) AS role FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY 1"
 
 

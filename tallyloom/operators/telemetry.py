@@ -42,6 +42,31 @@ def flatten_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
+PAGE = 200  # turns of a conversation in one exported line
+
+
+def export_pages(turns: DataFrame) -> DataFrame:
+    """(value): the nested export as JSON lines, of (conversation_id, turn, role, content) rows. A conversation is cut into
+    pages of ``PAGE`` turns, so a line is bounded however long a conversation grows; messages are in the order of turns."""
+    paged = turns.withColumn("page", F.expr(f"turn div {PAGE}"))
+    message = F.struct("turn", "role", "content")
+    lines = paged.groupBy("conversation_id", "page").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    return lines.select(F.to_json(F.struct("conversation_id", "page", "messages")).alias("value"))
+
+
+def read_export(lines: DataFrame) -> DataFrame:
+    """(conversation_id, page, position, turn, role, content) of exported lines, read as VARIANT: messages may have any
+    other fields, or lack these, which are NULL then. A line that is no JSON gives no rows."""
+    read = lines.select(F.try_parse_json("value").alias("v")).where(F.col("v").isNotNull())
+    pages = read.select(
+        F.try_variant_get("v", "$.conversation_id", "string").alias("conversation_id"), F.try_variant_get("v", "$.page", "bigint").alias("page"),
+        F.try_variant_get("v", "$.messages", "array<variant>").alias("messages"),
+    )
+    one = pages.select("conversation_id", "page", F.posexplode("messages").alias("position", "m"))
+    fields = {"turn": "bigint", "role": "string", "content": "string"}
+    return one.select("conversation_id", "page", "position", *[F.try_variant_get("m", f"$.{name}", kind).alias(name) for name, kind in fields.items()])
+
+
 def with_roles(messages: DataFrame, roles: DataFrame) -> DataFrame:
     """Role per user, ``unknown`` when there is none. ``roles`` has one row per user; the adaptive
     planner broadcasts it when its measured size allows."""

@@ -247,3 +247,13 @@ def test_conversation_flattening(spark):
     got = {r.message_id: r for r in telemetry.flatten_conversations(conv).collect()}
     assert (got["m1"].user_id, got["m1"].sql, got["m1"].feedback_rating) == ("u9", "SELECT 2", "NEGATIVE")
     assert (got["m2"].user_id, got["m2"].sql, got["m2"].feedback_rating, got["m2"].created_ts) == ("u1", "", "POSITIVE", None)
+
+
+def test_exported_pages_are_bounded_and_read_whatever_their_shape(spark):
+    turns = spark.range(450).select(F.lit("c").alias("conversation_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit('say "'), F.col("id")).alias("content"))
+    lines = telemetry.export_pages(turns)
+    assert lines.count() == 3
+    got = telemetry.read_export(lines).orderBy("turn").collect()
+    assert [(r.page, r.position, r.turn) for r in got] == [(i // 200, i % 200, i) for i in range(450)] and got[7].content == 'say "7'
+    odd = spark.createDataFrame([('{"conversation_id": "d", "messages": [{"turn": "x", "more": {"a": [1]}}, 5, null]}',), ("no json",), (None,), ("{}",)], "value STRING")
+    assert [(r.conversation_id, r.position, r.turn, r.role) for r in telemetry.read_export(odd).collect()] == [("d", i, None, None) for i in range(3)]

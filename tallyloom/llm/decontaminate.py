@@ -47,14 +47,14 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str) -> np.ndarray:
     """64-bit hashes of the five-word shingles, in order; words are runs of word characters in lower case. Texts of
-    fewer words have none."""
+    fewer words have one of the whole sequence, those without words none."""
     words = _WORD.findall(text.lower())
-    if len(words) < SHINGLE:
+    if not words:
         return np.zeros(0, np.uint64)
     one = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = len(words) - SHINGLE + 1
+    n = max(1, len(words) - SHINGLE + 1)
     out = one[:n].copy()
-    for k in range(1, SHINGLE):
+    for k in range(1, min(SHINGLE, len(words))):
         out = out * _FACTOR + one[k : k + n]
     out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return out ^ (out >> np.uint64(29))
@@ -163,9 +163,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): each item found in a document, in its best window.
 
     Similarity is the weighted Jaccard of five-word shingles, a shingle's weight being its number of occurrences. A
-    document shorter than the item is one window. Items and documents of fewer than five words, null and empty texts
-    match nothing; item rows with one id count each; repeated document rows come back each. Each block of the benchmark
-    is broadcast and takes one pass over the documents, so neither the driver nor a worker holds more than a block.
+    document shorter than the item is one window; a text of fewer than five words is one shingle, so such an item is
+    found in documents of the same words alone. Null and empty texts match nothing; item rows with one id count each; repeated document rows come back each. Each block of the benchmark
+    is broadcast and takes one pass over the documents; a worker searches one block at a time, while the blocks' broadcasts
+    stay until the result has been read.
     """
     found: DataFrame | None = None
 
@@ -178,10 +179,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for begin in range(0, batch.num_rows, SLICE):
                     part = batch.slice(begin, SLICE)
                     out = [
-                        (doc_id, *one)
+                        (doc_id, item, start, min(words, len(_WORD.findall(text))), *near)
                         for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True)
                         if text
-                        for one in ready.search(shingles(text))
+                        for item, start, words, *near in ready.search(shingles(text))
                     ]
                     if out:
                         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)]

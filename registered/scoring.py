@@ -356,15 +356,15 @@ def heads(m: Marts, trees: bool = False):
     return features, head, train, held
 
 
-CTES["grams"] = """
+CTES["question_grams"] = """
 SELECT message_id, gram, count(*) AS tf FROM (
   SELECT message_id, unnest(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS gram FROM (SELECT message_id, regexp_extract_all(lower(content), '[\\p{L}\\p{M}\\p{N}_]{2,}') AS words FROM telemetry)) GROUP BY 1, 2"""
-CTES["gram_weights"] = """
+CTES["question_gram_weights"] = """
 SELECT message_id, gram, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY message_id)) AS weight FROM (
-  SELECT message_id, gram, tf, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM telemetry)) / (1.0 + df))) AS raw FROM grams JOIN (SELECT gram, count(*) AS df FROM grams GROUP BY gram) USING (gram))"""
+  SELECT message_id, gram, tf, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM telemetry)) / (1.0 + df))) AS raw FROM question_grams JOIN (SELECT gram, count(*) AS df FROM question_grams GROUP BY gram) USING (gram))"""
 
 
-@case("rtr09_text_features", "SELECT message_id, gram, tf, round(weight, 6) AS weight FROM gram_weights")
+@case("rtr09_text_features", "SELECT message_id, gram, tf, round(weight, 6) AS weight FROM question_gram_weights")
 def _(m: Marts):
     """The TF-IDF weight of every gram of every question."""
     rows = training_rows(m).select("message_id", "question")

@@ -29,7 +29,8 @@ LEVEL_BITS = 6
 TURNS = 2  # smallest n-grams under other orders, by which most links are found first
 BLOCK = 2_000_000  # n-grams of the sets that one task holds, twice
 BITS = 256  # of a set's parities at least; larger sets have as many as n-grams, rounded up to a power of two
-ROOM = 1 << 28  # bits of parities that one task holds, twice
+ROOM = 1 << 20  # bits of parities that one task holds, twice
+SIEVE = 1 << 20  # remainders of ids by which texts are sorted out before they are shuffled
 SLICE = 256
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -359,7 +360,12 @@ def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) ->
             edges = forest([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["high", "low"])
 
-    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "digest")
+    def remainder(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SIEVE)).cast("int").alias("remainder")
+
+    wanted = dealt.select(remainder("rep")).distinct()  # at most SIEVE rows of four bytes
+    own = docs.select("doc_id", "text", remainder("doc_id")).join(F.broadcast(wanted), "remainder", "left_semi")
+    texts = own.join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "digest")
     full = texts.mapInArrow(gather, "key long, one int, two int, rep long, known long, grams binary")
     compared = _together(full).mapInArrow(compare, "high long, low long")
     return written(compared.distinct(), "links")[0]
@@ -410,12 +416,12 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     shape = "doc_id long, n long, digest binary, mark long, first array<long>, bits binary, " + ", ".join(f"{t} long" for t in turns)
     described, _ = written(docs.select("doc_id", "text").mapInArrow(describe, shape), "sets")
     known = described.where("digest is not null and doc_id is not null")
-    classes, _ = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
+    classes, _ = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
 
-    listed = known.select("digest", "mark", F.explode("first").alias("key"))
+    listed = known.select("mark", F.explode("first").alias("key"))
     shared, _ = written(listed.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("key"), "shared")
-    postings, _ = written(listed.join(shared, "key").select("key", "digest").distinct(), "postings")
-    chosen = postings.select("digest").distinct().join(classes, "digest")
+    postings, _ = written(listed.join(shared, "key").distinct(), "postings")
+    chosen = postings.select("mark").distinct().join(classes, "mark")
     own = known.select("digest", F.col("doc_id").alias("rep"), "bits").join(chosen, ["digest", "rep"])
     candidates, _ = written(own.dropDuplicates(["digest", "rep"]), "candidates")
 
@@ -424,7 +430,7 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
         if turn:
             members = candidates.select(F.col(turn).alias("key"), "rep", "n", "digest", "bits")
         else:
-            members = postings.join(candidates, "digest").select("key", "rep", "n", "digest", "bits")
+            members = postings.join(candidates, "mark").select("key", "rep", "n", "digest", "bits")
         if roots is None:
             members = members.withColumn("known", F.col("rep"))
         else:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.components import components
 from tallyloom.llm.simhash_groups import words_of
-from tallyloom.llm.tables import written
+from tallyloom.llm.tables import discard, written
 
 GRAM = 5
 T_UP, T_DOWN = 4, 5  # the least similarity, 0.8, as a fraction
@@ -32,6 +32,7 @@ BITS = 256  # of a set's parities at least; larger sets have as many as n-grams,
 ROOM = 1 << 20  # bits of parities that one task holds, twice
 SIEVE = 1 << 20  # remainders of ids by which texts are sorted out before they are shuffled
 SLICE = 256
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -287,6 +288,17 @@ def plausible(sizes: np.ndarray, known: np.ndarray, bits: list[bytes]) -> np.nda
     return kept
 
 
+def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``written``, and the shuffle files of the write go as soon as it has ended, for later steps read the table alone."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN)
+    conf.set(CLEAN, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.set(CLEAN, before)
+
+
 def _dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """The members of each bucket in blocks of about ``limit``, once for each block (``one``, ``two``) they are compared with."""
     bucket = Window.partitionBy("key")
@@ -327,7 +339,7 @@ def _plausible(members: DataFrame) -> DataFrame:
 
     weight = 8 * F.octet_length("bits").cast("long")
     flagged = _together(_dealt(members.select("key", "rep", "n", "known", "bits"), weight, ROOM)).mapInArrow(judge, "key long, rep long")
-    kept, _ = written(flagged.distinct(), "plausible")
+    kept, _ = _stored(flagged.distinct(), "plausible")
     return members.drop("bits").join(kept, ["key", "rep"])
 
 
@@ -338,7 +350,7 @@ def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) ->
     one another in tasks of their own, so that no task holds more than two blocks and all pairs still meet. Sets are
     taken from the texts again, of members alone that parities leave: they would fill more room than the texts do.
     """
-    dealt, _ = written(_dealt(_plausible(members), F.col("n"), BLOCK).drop("n"), "dealt")
+    dealt, place = _stored(_dealt(_plausible(members), F.col("n"), BLOCK).drop("n"), "dealt")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, grams, digest = None, b"", b""
@@ -368,14 +380,16 @@ def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) ->
     texts = own.join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "digest")
     full = texts.mapInArrow(gather, "key long, one int, two int, rep long, known long, grams binary")
     compared = _together(full).mapInArrow(compare, "high long, low long")
-    return written(compared.distinct(), "links")[0]
+    found, _ = _stored(compared.distinct(), "links")
+    discard(docs.sparkSession, place)
+    return found
 
 
 def _mixed_buckets(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one known component, one bucket for each set of members."""
     mark = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"mark{k}") for k in (0, 1)]
     buckets = members.groupBy("key").agg(F.count("*").alias("many"), F.min("known").alias("low"), F.max("known").alias("high"), *mark).where("low < high")
-    kept, _ = written(buckets.groupBy("many", "mark0", "mark1").agg(F.min("key").alias("key")).select("key"), "buckets")
+    kept, _ = _stored(buckets.groupBy("many", "mark0", "mark1").agg(F.min("key").alias("key")).select("key"), "buckets")
     return members.join(kept, "key")
 
 
@@ -414,16 +428,19 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
                 )
 
     shape = "doc_id long, n long, digest binary, mark long, first array<long>, bits binary, " + ", ".join(f"{t} long" for t in turns)
-    described, _ = written(docs.select("doc_id", "text").mapInArrow(describe, shape), "sets")
+    described, sets_place = _stored(docs.select("doc_id", "text").mapInArrow(describe, shape), "sets")
     known = described.where("digest is not null and doc_id is not null")
-    classes, _ = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
+    classes, _ = _stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
 
     listed = known.select("mark", F.explode("first").alias("key"))
-    shared, _ = written(listed.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("key"), "shared")
-    postings, _ = written(listed.join(shared, "key").distinct(), "postings")
+    shared, shared_place = _stored(listed.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("key"), "shared")
+    postings, _ = _stored(listed.join(shared, "key").distinct(), "postings")
     chosen = postings.select("mark").distinct().join(classes, "mark")
     own = known.select("digest", F.col("doc_id").alias("rep"), "bits").join(chosen, ["digest", "rep"])
-    candidates, _ = written(own.dropDuplicates(["digest", "rep"]), "candidates")
+    candidates, _ = _stored(own.dropDuplicates(["digest", "rep"]), "candidates")
+    rows, _ = _stored(described.select("doc_id", "n", "digest"), "rows")
+    for place in (sets_place, shared_place):  # all that is read from here on is in tables of its own
+        discard(spark, place)
 
     edges, roots = None, None
     for turn in (*turns, None):  # the last step looks at all n-grams of the beginnings
@@ -437,8 +454,8 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
             members = members.join(roots, members.rep == roots.node, "left").select("key", "rep", "n", "digest", "bits", F.coalesce("component", "rep").alias("known"))
         found = _links(_mixed_buckets(members), docs, levels, gram)
         edges = found if edges is None else edges.unionByName(found)
-        roots, _ = written(components(edges), "roots")
-    named, _ = written(classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
-    return described.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+        roots, _ = _stored(components(edges), "roots")
+    named, _ = _stored(classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
+    return rows.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("digest").isNull(), F.col("doc_id"))).alias("component_id")
     )

@@ -25,6 +25,12 @@ def every(key: str, n: int) -> Column:
     return F.col(key) % n == 0
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all cores by the hash of their keys: a narrow table is a file or two, hence a task or two, however
+    much is made of each row behind the scan."""
+    return rows.repartition(*keys)
+
+
 def text_of(name: str) -> Column:
     return F.col(name).cast("string")
 
@@ -80,7 +86,7 @@ def raw_sales(t: Warehouse) -> DataFrame:
 def flat_events(t: Warehouse) -> DataFrame:
     """Clean click events: one row per event, version 1 field names, timestamps in UTC seconds."""
     ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
-    return t("events").select(
+    return dealt(t("events").select("event_id", "ts", "user_id", "event_type"), "event_id", "ts").select(
         F.concat(F.lit("e"), text_of("event_id")).alias("event_id"),
         F.concat(F.lit("s"), text_of("user_id"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"),
         F.concat(F.lit("v"), text_of("user_id")).alias("visitor_id"),

@@ -130,10 +130,9 @@ def telemetry(t: Warehouse) -> DataFrame:
     form = (F.col("conv_id") + F.col("turn")) % 12
     said = F.struct(F.lit("").alias("mark"), F.col("text").alias("content"))
     fixed = F.struct(F.lit("-f").alias("mark"), pick(QUESTION_FORMS, form, F.lit(None)).alias("content"))
+    turns = dealt(t("conversations").where(F.col("role") == "user").select("conv_id", "turn", "text"), "conv_id", "turn")
     return (
-        t("conversations")
-        .where(F.col("role") == "user")
-        .select("conv_id", "turn", F.inline(F.when(form < len(QUESTION_FORMS), F.array(said, fixed)).otherwise(F.array(said))))
+        turns.select("conv_id", "turn", F.inline(F.when(form < len(QUESTION_FORMS), F.array(said, fixed)).otherwise(F.array(said))))
         .select(
             text_of("conv_id").alias("conversation_id"),
             F.concat(text_of("conv_id"), F.lit("-"), text_of("turn"), "mark").alias("message_id"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.plans.marts import Marts
-from tallyloom.sources.warehouse import Warehouse
+from tallyloom.sources.warehouse import Warehouse, telemetry
 
 
 @pytest.fixture
@@ -27,3 +27,13 @@ def test_feed_of_one_events_file_is_built_by_several_tasks(uncoalesced, tmp_path
     assert marts.injected_events.count() == 410
     sizes = marts.event_lines.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 1
+
+
+def test_questions_of_one_conversations_file_are_read_by_several_tasks(uncoalesced, tmp_path):
+    turns = uncoalesced.range(300).select(
+        F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("how much revenue "), "id").alias("text")
+    )
+    turns.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    asked = telemetry(Warehouse(uncoalesced, str(tmp_path)))
+    assert asked.where(~F.col("message_id").endswith("-f")).count() == 300
+    assert asked.groupBy(F.spark_partition_id()).count().count() > 1

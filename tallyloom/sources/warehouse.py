@@ -37,12 +37,19 @@ def text_of(name: str) -> Column:
 
 def raw_sales(t: Warehouse) -> DataFrame:
     """Sales lines as landed: all strings, with the faults a real export has (see FIXTURES B1)."""
-    # the order heads meet their customer first, so the lines are shuffled by order key only once
+    # the order heads meet their customer first, so the lines are shuffled by order key only once; what an order
+    # fixes is written once an order, not once a line
+    minute = F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0")
     heads = (
         t("orders")
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
+        .select(
+            "o_orderkey",
+            F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" 08:"), minute, F.lit(":00")).alias("invoice_date"),
+            F.when(every("o_custkey", 5), F.lit(None)).otherwise(text_of("o_custkey")).alias("customer_id"),
+            F.col("n_name").alias("country"),
+        )
     )
     base = (
         t("lineitem")
@@ -51,7 +58,6 @@ def raw_sales(t: Warehouse) -> DataFrame:
     )
     returned = (F.col("l_returnflag") == "R") & every("l_orderkey", 10)
     cents = F.floor("l_extendedprice") % 5000 + 50
-    minute = F.lpad((F.col("l_orderkey") % 60).cast("string"), 2, "0")
     signed = F.when(returned | every("l_orderkey", 89), -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     copies = F.when(every("l_orderkey", 41), 2).otherwise(1)
     line = F.struct(
@@ -67,7 +73,7 @@ def raw_sales(t: Warehouse) -> DataFrame:
         .otherwise(F.col("p_name"))
         .alias("description"),
         F.when(every("l_orderkey", 301), "n/a").otherwise(signed.cast("int").cast("string")).alias("quantity"),
-        F.concat(F.to_date("o_orderdate").cast("string"), F.lit(" 08:"), minute, F.lit(":00")).alias("invoice_date"),
+        "invoice_date",
         F.when(every("l_orderkey", 113), "0")
         .otherwise(
             F.concat(
@@ -75,8 +81,8 @@ def raw_sales(t: Warehouse) -> DataFrame:
             )
         )
         .alias("price"),
-        F.when(every("o_custkey", 5), F.lit(None)).otherwise(text_of("o_custkey")).alias("customer_id"),
-        F.col("n_name").alias("country"),
+        "customer_id",
+        "country",
     )
     # the line leaves a generator, as it would leave a file scan: rules on its fields stay above it
     # and read the built strings instead of building them again

@@ -26,8 +26,9 @@ PLANES = 6  # bits of an anchor's quantised component
 ANCHORS = 8192  # anchors that one task holds
 ROWS = 65_536  # rows, about, that stream past them in one task
 LEAST_ROWS = 4096  # fewer rows are not worth a task of their own
-AT_ONCE = 64  # anchors compared with a batch of rows at once
+AT_ONCE = 64  # anchors compared with rows at once
 BATCH = 4096
+FIRST, MOST = 128, 1024  # rows compared at once: few as long as nothing is known that later ones must reach
 SEED = 11
 EMPTY = np.iinfo(np.int64).min
 
@@ -76,20 +77,27 @@ class Probe:
 
     def interval(self, of: slice, codes: np.ndarray, aligned: np.ndarray, remainder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) bounds of the inner products, rows by anchors."""
-        n, width = len(codes), codes.shape[2] * 64
-        middle, half = 0.0, remainder[:, None] * self.length[None, of]
-        for k, (low, step, total, error, planes) in enumerate(self.layers):
-            code = codes[:, k]
-            ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
-            shared = np.zeros((n, len(low[of])), np.int64)
-            for b, plane in enumerate(planes):
-                for w in range(code.shape[1]):
-                    shared += np.bitwise_count(code[:, None, w] & plane[None, of, w]).astype(np.int64) << b
-            signed = (2 * ones - width)[:, None] * low[None, of] + (2 * shared - total[None, of]) * step[None, of]
-            middle = middle + aligned[:, k, None] * signed
-            half = half + aligned[:, k, None] * error[None, of]
+        n, words = codes.shape[0], codes.shape[2]
+        width, length = words * 64, self.length[of]
+        shape = (n, len(length))
+        both, count, part = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape)
+        shared = np.empty(shape, np.uint16 if width << PLANES <= 1 << 16 else np.uint32)  # as narrow as the sums allow
+        ones = np.bitwise_count(codes).sum(axis=2, dtype=np.int64)
+        low, step, total, error = (np.stack([layer[k][of] for layer in self.layers]) for k in range(4))
+        middle = (aligned * (2 * ones - width)) @ low - aligned @ (total * step)
+        for k, layer in enumerate(self.layers):
+            shared.fill(0)
+            for plane in reversed(layer[4]):
+                np.left_shift(shared, 1, out=shared)
+                for w in range(words):
+                    np.bitwise_and(codes[:, k, w, None], plane[None, of, w], out=both)
+                    np.add(shared, np.bitwise_count(both, out=count), out=shared)
+            np.multiply(shared, 2 * step[None, k], out=part)
+            part *= aligned[:, k, None]
+            middle += part
         size = np.sqrt((aligned**2).sum(axis=1) * width + remainder**2)
-        half = half * (1 + 1e-9) + 1e-9 * (size[:, None] * self.length[None, of] + 1)  # rounding
+        half = np.outer(remainder, length) + aligned @ error
+        half = half * (1 + 1e-9) + 1e-9 * (np.outer(size, length) + 1)  # rounding
         return middle - half, middle + half
 
 
@@ -150,7 +158,8 @@ class _Best:
 
 
 class _Block:
-    """A block of anchors, past which rows stream."""
+    """A block of anchors, past which rows stream. Anchors stand by label, so that those that look for positives meet
+    the rows of their own label alone."""
 
     def __init__(self, k: int):
         self.k, self.parts, self.best = k, [], None
@@ -161,17 +170,22 @@ class _Block:
     def _ready(self) -> None:
         table = pa.Table.from_batches(self.parts)
         column = {n: table[n].combine_chunks() for n in ("vec_id", "label", "v", "bounds")}
-        self.id, self.label = (column[n].to_numpy(zero_copy_only=False) for n in ("vec_id", "label"))
+        order = np.argsort(column["label"].to_numpy(zero_copy_only=False), kind="stable")
+        self.id, self.label = (column[n].to_numpy(zero_copy_only=False)[order] for n in ("vec_id", "label"))
         width = len(column["v"][0].as_py()) // 4
-        self.v = _stacked(column["v"], np.int32, width).astype(np.int64)
+        self.v = _stacked(column["v"], np.int32, width).astype(np.int64)[order]
         self.probe, self.width = Probe(self.v), width
-        bounds = column["bounds"].to_pylist()
-        self.wide = max((len(b or ()) for b in bounds), default=0)  # slots of an anchor; none: positives are looked for
-        self.low, self.high = (np.full((len(bounds), self.wide), fill, np.int64) for fill in (1, 0))
+        bounds = column["bounds"].take(pa.array(order)).to_pylist()
+        most = max((len(b or ()) for b in bounds), default=0)  # slots of an anchor; none: positives are looked for
+        self.positives, self.wide = not most, max(most, 1)
+        whole = np.iinfo(np.int64)
+        self.low, self.high = (np.full((len(bounds), self.wide), fill, np.int64) for fill in ((whole.min, whole.max) if self.positives else (1, 0)))
         for i, one in enumerate(bounds):
             for j, of in enumerate(one or ()):
                 self.low[i, j], self.high[i, j] = of["low"], of["high"]
-        self.best = _Best(len(bounds) * max(self.wide, 1), self.k)
+        starts = [0, *(np.flatnonzero(np.diff(self.label)) + 1).tolist()] if self.positives else [0]
+        self.slices = [slice(at, min(at + AT_ONCE, end)) for begin, end in zip(starts, [*starts[1:], len(self.id)]) for at in range(begin, end, AT_ONCE)]
+        self.best = [_Best((of.stop - of.start) * self.wide, self.k) for of in self.slices]
 
     def rows(self, batch: pa.RecordBatch) -> None:
         if not self.parts:
@@ -182,40 +196,41 @@ class _Block:
         v = _stacked(batch["v"], np.int32, self.width)
         codes = _stacked(batch["codes"], np.uint64, LAYERS, self.width // 64)
         aligned, remainder = _stacked(batch["aligned"], np.float64, LAYERS), batch["remainder"].to_numpy()
-        for begin in range(0, len(self.id), AT_ONCE):
-            of = slice(begin, begin + AT_ONCE)
-            lower, upper = self.probe.interval(of, codes, aligned, remainder)
-            same = labels[:, None] == self.label[None, of]
-            if not self.wide:
-                self._take(of, 0, same & (ids[:, None] != self.id[None, of]), lower, upper, lower, v, ids)
-                continue
-            for j in range(self.wide):
-                low, high = self.low[None, of, j], self.high[None, of, j]
-                may = ~same & (upper >= low) & (lower <= high)
-                sure = np.where((lower >= low) & (upper <= high), lower, -np.inf)
-                self._take(of, j, may, lower, upper, sure, v, ids, low[0], high[0])
-
-    def _take(self, of, j, may, lower, upper, sure, v, ids, low=None, high=None) -> None:
-        """Score in integers what the intervals leave, and keep the best: a row whose upper bound lies below k sure
-        lower bounds, or below k scores kept before, cannot be among them."""
-        slots = np.arange(of.start, of.start + may.shape[1]) * max(self.wide, 1) + j
-        limit = self.best.floor[slots].astype(np.float64)
-        if len(ids) >= self.k:
-            limit = np.maximum(limit, np.partition(np.where(may, sure, -np.inf), len(ids) - self.k, axis=0)[len(ids) - self.k])
-        row, anchor = np.nonzero(may & (upper >= limit[None, :]))
-        score = np.einsum("ij,ij->i", v[row].astype(np.int64), self.v[of.start + anchor])
-        if low is not None:
-            kept = (score >= low[anchor]) & (score <= high[anchor])
-            row, anchor, score = row[kept], anchor[kept], score[kept]
-        if len(row):
-            self.best.add(slots[anchor], ids[row], score)
+        if self.positives:  # rows by label too
+            order = np.argsort(labels, kind="stable")
+            ids, labels, v, codes, aligned, remainder = (x[order] for x in (ids, labels, v, codes, aligned, remainder))
+        for of, best in zip(self.slices, self.best):
+            own = self.label[of.start]
+            begin, end = (int(np.searchsorted(labels, own, side=s)) for s in ("left", "right")) if self.positives else (0, len(ids))
+            step = FIRST
+            while begin < end:
+                part = slice(begin, min(begin + step, end))
+                self._compare(of, best, ids[part], labels[part], v[part], codes[part], aligned[part], remainder[part])
+                begin, step = part.stop, min(2 * step, MOST)
+
+    def _compare(self, of, best, ids, labels, v, codes, aligned, remainder) -> None:
+        """Score in integers what the intervals leave for any slot of an anchor, once for all of its slots: a row whose
+        upper bound lies below what each slot asks for, or below k scores that it has, cannot be among its best."""
+        low, high, floor = self.low[of], self.high[of], best.floor.reshape(-1, self.wide)
+        open_ = low <= high
+        reach = np.where(open_, np.maximum(low, floor).astype(np.float64), np.inf).min(axis=1)
+        top = np.where(open_, high.astype(np.float64), -np.inf).max(axis=1)
+        lower, upper = self.probe.interval(of, codes, aligned, remainder)
+        row, anchor = np.nonzero((upper >= reach[None, :]) & (lower <= top[None, :]))
+        here = of.start + anchor
+        kept = ids[row] != self.id[here] if self.positives else labels[row] != self.label[here]
+        row, anchor, here = row[kept], anchor[kept], here[kept]
+        score = np.einsum("ij,ij->i", v[row].astype(np.int64), self.v[here])
+        one = score[:, None]
+        at, slot = np.nonzero((one >= low[anchor]) & (one <= high[anchor]) & (one >= floor[anchor]))
+        if len(at):
+            best.add(anchor[at] * self.wide + slot, ids[row[at]], score[at])
 
     def result(self) -> pa.RecordBatch:
-        if self.best is None:
-            columns = [np.empty(0, np.int64)] * 4
-        else:
-            wide = max(self.wide, 1)
-            columns = [self.id[self.best.slot // wide], self.best.slot % wide, self.best.row, self.best.score]
+        found = [
+            (self.id[of.start + best.slot // self.wide], best.slot % self.wide, best.row, best.score) for of, best in zip(self.slices, self.best)
+        ] if self.best is not None else []
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor_id", "slot", "row_id", "score"])
 
 

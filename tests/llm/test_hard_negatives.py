@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from tallyloom.llm import hard_negatives as H
 
@@ -64,3 +65,36 @@ def test_intervals_hold_the_score_and_leave_little():
     assert (lower <= exact).all() and (exact <= upper).all()
     tenth = np.sort(exact, axis=0)[-10]
     assert (upper >= tenth[None, :]).mean() < 0.25  # most rows need no exact score
+
+
+def test_a_pair_is_estimated_once_and_positives_meet_their_label_alone(monkeypatch):
+    random = np.random.default_rng(3)
+    v = (random.standard_normal((1200, 64)) * 40).astype(np.int32)
+    labels, ids = np.arange(1200) % 8, np.arange(1200)
+    codes, aligned, remainder = H.codes_of(v)
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(labels), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in (v, codes, aligned)), pa.array(remainder)],
+        ["vec_id", "label", "v", "codes", "aligned", "remainder"],
+    )
+    pairs, plain_interval = [], H.Probe.interval
+
+    def interval(self, of, codes, *rest):
+        low, high = plain_interval(self, of, codes, *rest)
+        pairs.append(low.size)
+        return low, high
+
+    monkeypatch.setattr(H.Probe, "interval", interval)
+    exact = v.astype(np.int64) @ v[:80].astype(np.int64).T
+    shape = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    for bounds in (None, [{"low": 1000, "high": 20000}, {"low": 500, "high": 15000}, {"low": 1, "high": 0}]):
+        block = H._Block(10)
+        block.anchors(pa.RecordBatch.from_arrays([pa.array(ids[:80]), pa.array(labels[:80]), rows["v"].slice(0, 80), pa.array([bounds] * 80, shape)], ["vec_id", "label", "v", "bounds"]))
+        pairs.clear()
+        block.rows(rows)
+        assert sum(pairs) == (80 * 1200 if bounds else 80 * 150)  # 150 rows have an anchor's label
+        want = []
+        for a in range(80):
+            for slot, band in enumerate(bounds or [{"low": -(10**9), "high": 10**9}]):
+                other = [i for i in range(1200) if (labels[i] != labels[a] if bounds else labels[i] == labels[a] and i != a) and band["low"] <= exact[i, a] <= band["high"]]
+                want += [(a, slot, i, exact[i, a]) for i in sorted(other, key=lambda i: (-exact[i, a], i))[:10]]
+        assert sorted(zip(*(c.to_pylist() for c in block.result().columns))) == sorted(want)

@@ -32,6 +32,7 @@ BITS = 256  # of a set's parities at least; larger sets have as many as n-grams,
 ROOM = 1 << 20  # bits of parities that one task holds, twice
 SIEVE = 1 << 20  # remainders of ids by which texts are sorted out before they are shuffled
 SLICE = 256
+SEEN = 1 << 17  # sets that a task remembers, to list the beginning of each once
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -393,6 +394,13 @@ def _mixed_buckets(members: DataFrame) -> DataFrame:
     return members.join(kept, "key")
 
 
+def _shared(listed: DataFrame) -> DataFrame:
+    """The distinct (key, mark) whose key more than one mark has. All rows are shuffled once, by key; the few that are
+    left stay where they are."""
+    bucket = Window.partitionBy("key")
+    return listed.select("key", "mark", F.min("mark").over(bucket).alias("a"), F.max("mark").over(bucket).alias("b")).where("a < b").select("key", "mark").distinct()
+
+
 def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each document's set of distinct n-grams, and the smallest doc_id
     reachable over links of similarity 0.8 and more, for every row.
@@ -411,6 +419,16 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     turns = [f"least{turn}" for turn in range(TURNS)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
+        def listed(doc_id: int | None, digest: bytes | None, grams: np.ndarray) -> np.ndarray | list:
+            if digest is None or doc_id is None or digest in seen:
+                return []
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(digest)
+            return grams[: beginning(len(grams))].view(np.int64)
+
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE):
                 part = batch.slice(begin, SLICE)
@@ -421,7 +439,7 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
                     [
                         part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                         pa.array([d and int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
-                        pa.array([s[: beginning(len(s))].view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([listed(*one) for one in zip(part["doc_id"].to_pylist(), digests, sets)], pa.list_(pa.int64())),
                         pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(x, pa.int64()) for x in least),
                     ],
                     ["doc_id", "n", "digest", "mark", "first", "bits", *turns],
@@ -432,15 +450,12 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
     known = described.where("digest is not null and doc_id is not null")
     classes, _ = _stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("mark").alias("mark"), F.min("n").alias("n"), *(F.min(t).alias(t) for t in turns)), "classes")
 
-    listed = known.select("mark", F.explode("first").alias("key"))
-    shared, shared_place = _stored(listed.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("key"), "shared")
-    postings, _ = _stored(listed.join(shared, "key").distinct(), "postings")
+    postings, _ = _stored(_shared(known.select(F.explode("first").alias("key"), "mark")), "postings")
     chosen = postings.select("mark").distinct().join(classes, "mark")
     own = known.select("digest", F.col("doc_id").alias("rep"), "bits").join(chosen, ["digest", "rep"])
     candidates, _ = _stored(own.dropDuplicates(["digest", "rep"]), "candidates")
     rows, _ = _stored(described.select("doc_id", "n", "digest"), "rows")
-    for place in (sets_place, shared_place):  # all that is read from here on is in tables of its own
-        discard(spark, place)
+    discard(spark, sets_place)  # all that is read from here on is in tables of its own
 
     edges, roots = None, None
     for turn in (*turns, None):  # the last step looks at all n-grams of the beginnings

@@ -118,3 +118,20 @@ def test_edge_rows(spark):
     got = sorted((tuple(r) for r in P.groups(frame).collect()), key=str)
     assert got == sorted([(5, 0, 5), (6, 0, 6), (8, 1, 8), (9, 1, 8), (9, 1, 8), (9, 1, 9), (10, 1, 10), (None, 1, 8), (None, 1, None)], key=str)
     assert P.groups(frame.limit(0)).count() == 0
+
+
+def test_beginnings_are_shuffled_once(spark):
+    rows = [(k, m) for k in range(40) for m in range(1 + k % 3)] * 2 + [(99, 5)] * 50
+    shared = P._shared(spark.createDataFrame(rows, "key long, mark long"))
+    assert sorted(map(tuple, shared.collect())) == sorted({(k, m) for k, m in rows if k < 99 and k % 3})
+    plan = shared._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan  # the rows meet no second time
+    assert shared._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_copies_whose_first_row_has_no_id(spark):
+    words = [f"u{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(None, " ".join(words), 1, "x"), (None, " ".join(words), 1, "x"), (3, " ".join(words), 1, "x"), (2, near, 1, "x"), (5, " ".join(words), 1, "x")]
+    out = P.groups(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in out) == [(-1, 2), (-1, 2), (2, 2), (3, 2), (5, 2)]

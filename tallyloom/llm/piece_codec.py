@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"  # stands for a blank inside pieces
 SLICE = 128
-MEMO_WORDS = 200_000  # words remembered by a Python worker and those of one more text, and as many older ones
+MEMO_WORDS = 400_000  # words remembered by a Python worker and those of one more text, and as many older ones
 MEMO_LENGTH = 40
 MEMO_PAIRS = 800_000
 
@@ -75,7 +75,20 @@ class PieceCodec:
         self.pairs: dict[int, bool] = {}
         self.edges: dict[str, tuple[list, list] | None] = {}
         self.shorter: dict[int, int] = {}
-        self.cut = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        apart = "".join(map(re.escape, sorted(self._apart())))
+        runs = f" *[{apart}]+|" if apart else ""
+        self.cut = re.compile(f"\n|{runs} *[^ \n{apart}]+| +")
+
+    def _apart(self) -> set[str]:
+        """Marks, digits and the like that stand in pieces with one another and behind blanks alone, so that no piece goes
+        over the border between them and other characters."""
+        apart = {c for p in self.ids for c in p if c <= "\uffff" and not c.isalpha()} - {" ", "\n", SPACE}
+        inner = [p.lstrip(SPACE) for p in self.ids]
+        while True:
+            mixed = {c for p in inner if not apart.isdisjoint(p) and not apart.issuperset(p) for c in p}
+            if apart.isdisjoint(mixed):
+                return apart
+            apart -= mixed
 
     def merge(self, text: str, trace: dict[str, tuple[str, str]] | None = None) -> list[str]:
         """Merging by definition: the adjacent pair with the best score first, the leftmost of equals.
@@ -266,12 +279,13 @@ class PieceCodec:
         return ids
 
     def segments(self, text: str) -> list[str]:
-        """The escaped text, a blank in front, cut where no piece goes on."""
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """The text, a blank in front, cut where no piece goes on; what stands for a blank is one. Segments are escaped
+        where they are split, for most are ASCII without that."""
+        return self.cut.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def encode(self, text: str) -> list[int]:
         """All ids, the end id last."""
-        return [i for s in self.segments(text) for i in self.ids_of(self.split(s))] + [self.end]
+        return [i for s in self.segments(text) for i in self.ids_of(self.split(s.replace(" ", SPACE)))] + [self.end]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes in a row as UTF-8 (what is no UTF-8 becomes U+FFFD), the blank in front dropped."""
@@ -294,16 +308,17 @@ class PieceCodec:
         return "".join(out)
 
     def _word(self, segment: str) -> None:
-        """Keep a segment's decimal ids and what they decode to. A segment starts with a blank or a line break, or
-        follows one, and a line break is whole bytes, so byte runs never need their neighbours."""
+        """Keep a segment's decimal ids and what they decode to. Segments are whole characters, so byte runs never need
+        their neighbours."""
         ids, texts = self.older
         if segment in ids:
             self.words[segment], self.texts[segment] = ids[segment], texts[segment]
             return
-        numbers = self.numbers(segment)
+        numbers = self.numbers(segment.replace(" ", SPACE))
         decimal, plain = self.decimal, self.plain
+        text = "".join([plain[n] for n in numbers])
         self.words[segment] = " ".join([decimal[n] for n in numbers])
-        self.texts[segment] = "".join([plain[n] for n in numbers])
+        self.texts[segment] = segment if text == segment else text  # one string is kept of two equal ones
 
     def joined(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids (end id included), the ids joined by a blank, and the text they decode to."""

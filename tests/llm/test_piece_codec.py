@@ -64,3 +64,17 @@ def test_null_empty_and_repeated_rows(spark, library):
     got = sorted(P.tokens(docs, PATH).collect())
     assert [(r.doc_id, r.n_tokens, r.ids) for r in got] == [(1, 1, [2]), (2, 1, [2])] + [(3, 2, library.encode("ab", add_eos=True))] * 2
     assert P.token_digests(docs.limit(0), PATH).count() == 0
+
+
+def test_words_are_cut_from_marks_and_split_once(monkeypatch):
+    model = P.model_bytes(PATH)
+    ours, library, split = P.PieceCodec(model), sentencepiece.SentencePieceProcessor(model_proto=model), []
+    plain = ours.numbers
+    monkeypatch.setattr(ours, "numbers", lambda text: split.append(text) or plain(text))
+    marks = ["", ",", ".", "$$$", "###", "%%%", "!?", "…", "”", ":12", "***", ")"]
+    text = " ".join(f"anrend{m} ouenou{m}" for m in marks)
+    n, ids, decoded = ours.joined(text)
+    assert ids == " ".join(map(str, [*library.encode(text), ours.end])) and decoded == library.decode(library.encode(text))
+    assert len(split) == len(set(split)) <= 2 + len(marks)  # both words once, each kind of marks once
+    for odd in ("a▁b ▁c", "d'accord: l'été...", "x\n\n  y. z", " . ", "1.a,2", "né́e!", "😀!😀 😀"):
+        assert ours.encode(odd) == [*library.encode(odd), ours.end] and ours.joined(odd)[2] == library.decode(library.encode(odd))

@@ -105,10 +105,12 @@ def order_table(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
 
     portions = docs.select("text").where("text is not null").mapInArrow(count, "part int, used binary, counts binary, width int")
     sums = portions.repartition(SLOTS // PORTION, "part").mapInArrow(add, "part int, total long, quarters binary")
+    stored, place = _stored(sums, "counts")  # what the tasks counted goes with its shuffle
     quarters, total = np.zeros(SLOTS, np.uint8), 0
-    for row in sums.collect():  # 64 rows of 64 KB
+    for row in stored.collect():  # 64 rows of 64 KB
         quarters[row.part * PORTION : (row.part + 1) * PORTION] = np.frombuffer(row.quarters, np.uint8)
         total += row.total
+    discard(docs.sparkSession, place)
     mean = total / SLOTS
     usual = 4 * np.log2(mean + 3 * np.sqrt(mean) + 2)
     return np.clip(np.ceil(quarters - usual), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
@@ -120,6 +122,11 @@ def ordered_set(text: str | None, levels: np.ndarray, gram: int = GRAM) -> np.nd
     return np.unique(levels[_slots(hashes)].astype(np.uint64) << np.uint64(64 - LEVEL_BITS) | hashes >> np.uint64(LEVEL_BITS))
 
 
+def mark_of(digest: bytes) -> int:
+    """A class's digest as a number, its first 64 bits."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def beginning(n: int) -> int:
     """How many of the first n-grams are listed: a partner shares at least ceil(t n), so one of these."""
     return n - -(-T_UP * n // T_DOWN) + 1
@@ -303,7 +310,7 @@ def _stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 def _dealt(members: DataFrame, weight: Column, limit: int) -> DataFrame:
     """The members of each bucket in blocks of about ``limit``, once for each block (``one``, ``two``) they are compared with."""
     bucket = Window.partitionBy("key")
-    before = F.coalesce(F.sum(weight).over(bucket.orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(weight).over(bucket.orderBy("rep", "mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = members.withColumn("block", (before / limit).cast("int")).withColumn("blocks", F.max("block").over(bucket))
     other = numbered.withColumn("other", F.explode(F.expr("filter(sequence(0, blocks), x -> x <> block or blocks = 0)")))
     return other.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("block", "blocks", "other")
@@ -329,41 +336,48 @@ def _together(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "rep")
 
 
-def _plausible(members: DataFrame) -> DataFrame:
-    """The members (key, rep, n, digest, known, bits) that ``plausible`` leaves in their buckets."""
+def _plausible(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The members (key, mark, rep, n, known) that ``plausible`` leaves in their buckets.
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, _, _), rows in _by_group(batches, ("rep", "n", "known", "bits")):
-            reps, sizes, known = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-            found = reps[plausible(sizes, known, [r[3] for r in rows])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), key), pa.int64()), pa.array(found)], ["key", "rep"])
+    Members are dealt by the room that their parities take; unless they have their parities with them, these join them
+    where they are compared.
+    """
 
-    weight = 8 * F.octet_length("bits").cast("long")
-    flagged = _together(_dealt(members.select("key", "rep", "n", "known", "bits"), weight, ROOM)).mapInArrow(judge, "key long, rep long")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, _, _), rows in _by_group(batches, ("mark", "rep", "n", "known", "bits")):
+            marks, reps, sizes, known = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+            kept = plausible(sizes, known, [r[4] for r in rows])
+            found = [np.full(int(kept.sum()), key, np.int64), *(c[kept] for c in (marks, reps, sizes, known))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["key", "mark", "rep", "n", "known"])
+
+    dealt = _dealt(members, F.col("room"), ROOM)
+    if "bits" not in members.columns:
+        dealt = dealt.join(candidates.select("mark", "rep", "bits"), ["mark", "rep"])
+    flagged = _together(dealt.select("key", "one", "two", "mark", "rep", "n", "known", "bits")).mapInArrow(judge, "key long, mark long, rep long, n long, known long")
     kept, _ = _stored(flagged.distinct(), "plausible")
-    return members.drop("bits").join(kept, ["key", "rep"])
+    return kept
 
 
-def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) -> DataFrame:
-    """(high, low) edges out of the buckets of ``members`` (key, rep, n, digest, known, bits), written.
+def _links(members: DataFrame, candidates: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) -> DataFrame:
+    """(high, low) edges out of the buckets of ``members`` (key, mark, rep, n, room, known, and bits or not), written.
 
     The members of a bucket are numbered by their sizes in n-grams; beyond ``BLOCK`` of them, blocks are compared with
     one another in tasks of their own, so that no task holds more than two blocks and all pairs still meet. Sets are
     taken from the texts again, of members alone that parities leave: they would fill more room than the texts do.
     """
-    dealt, place = _stored(_dealt(_plausible(members), F.col("n"), BLOCK).drop("n"), "dealt")
+    dealt, place = _stored(_dealt(_plausible(members, candidates), F.col("n"), BLOCK).drop("n"), "dealt")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams, digest = None, b"", b""
+        last, grams, mark = None, b"", None
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE):
                 part = batch.slice(begin, SLICE)
                 right, sets = [], []
-                for text, wanted in zip(part["text"].to_pylist(), part["digest"].to_pylist(), strict=True):
+                for text, wanted in zip(part["text"].to_pylist(), part["mark"].to_pylist(), strict=True):
                     if text != last:  # rows of one text follow one another
                         last, grams = text, ordered_set(text, levels.value, gram).tobytes()
-                        digest = xxhash.xxh3_128_digest(grams)
-                    right.append(digest == wanted)  # another text of a repeated id does not belong to the class
+                        mark = mark_of(xxhash.xxh3_128_digest(grams))
+                    right.append(mark == wanted)  # another text of a repeated id does not belong to the class
                     sets.append(grams if right[-1] else None)
                 columns = [part["key"], part["one"], part["two"], part["rep"], part["known"], pa.array(sets, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "one", "two", "rep", "known", "grams"]).filter(pa.array(right))
@@ -378,7 +392,7 @@ def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) ->
 
     wanted = dealt.select(remainder("rep")).distinct()  # at most SIEVE rows of four bytes
     own = docs.select("doc_id", "text", remainder("doc_id")).join(F.broadcast(wanted), "remainder", "left_semi")
-    texts = own.join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "digest")
+    texts = own.join(dealt, F.col("doc_id") == F.col("rep")).select("key", "one", "two", "rep", "known", "text", "mark")
     full = texts.mapInArrow(gather, "key long, one int, two int, rep long, known long, grams binary")
     compared = _together(full).mapInArrow(compare, "high long, low long")
     found, _ = _stored(compared.distinct(), "links")
@@ -388,7 +402,7 @@ def _links(members: DataFrame, docs: DataFrame, levels: Broadcast, gram: int) ->
 
 def _mixed_buckets(members: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one known component, one bucket for each set of members."""
-    mark = [F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"mark{k}") for k in (0, 1)]
+    mark = [F.bit_xor(F.xxhash64(F.lit(k), "rep", "mark")).alias(f"mark{k}") for k in (0, 1)]
     buckets = members.groupBy("key").agg(F.count("*").alias("many"), F.min("known").alias("low"), F.max("known").alias("high"), *mark).where("low < high")
     kept, _ = _stored(buckets.groupBy("many", "mark0", "mark1").agg(F.min("key").alias("key")).select("key"), "buckets")
     return members.join(kept, "key")
@@ -438,7 +452,7 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                        pa.array([d and int.from_bytes(d[:8], "big", signed=True) for d in digests], pa.int64()),
+                        pa.array([d and mark_of(d) for d in digests], pa.int64()),
                         pa.array([listed(*one) for one in zip(part["doc_id"].to_pylist(), digests, sets)], pa.list_(pa.int64())),
                         pa.array([parities(s) if len(s) else None for s in sets], pa.binary()), *(pa.array(x, pa.int64()) for x in least),
                     ],
@@ -452,22 +466,22 @@ def groups(docs: DataFrame, gram: int = GRAM) -> DataFrame:
 
     postings, _ = _stored(_shared(known.select(F.explode("first").alias("key"), "mark")), "postings")
     chosen = postings.select("mark").distinct().join(classes, "mark")
-    own = known.select("digest", F.col("doc_id").alias("rep"), "bits").join(chosen, ["digest", "rep"])
+    own = known.select("digest", F.col("doc_id").alias("rep"), "bits", (8 * F.octet_length("bits")).cast("long").alias("room")).join(chosen, ["digest", "rep"])
     candidates, _ = _stored(own.dropDuplicates(["digest", "rep"]), "candidates")
     rows, _ = _stored(described.select("doc_id", "n", "digest"), "rows")
     discard(spark, sets_place)  # all that is read from here on is in tables of its own
 
     edges, roots = None, None
     for turn in (*turns, None):  # the last step looks at all n-grams of the beginnings
-        if turn:
-            members = candidates.select(F.col(turn).alias("key"), "rep", "n", "digest", "bits")
-        else:
-            members = postings.join(candidates, "mark").select("key", "rep", "n", "digest", "bits")
+        sets = candidates.select("mark", "rep", "n", "room", *([F.col(turn).alias("key"), "bits"] if turn else []))
         if roots is None:
-            members = members.withColumn("known", F.col("rep"))
+            sets = sets.withColumn("known", F.col("rep"))
         else:
-            members = members.join(roots, members.rep == roots.node, "left").select("key", "rep", "n", "digest", "bits", F.coalesce("component", "rep").alias("known"))
-        found = _links(_mixed_buckets(members), docs, levels, gram)
+            sets = sets.join(roots, sets.rep == roots.node, "left").withColumn("known", F.coalesce("component", "rep")).drop("node", "component")
+        members, place = (sets, None) if turn else _stored(postings.join(sets, "mark"), "members")  # many a set, so without parities
+        found = _links(_mixed_buckets(members), candidates, docs, levels, gram)
+        if place:
+            discard(spark, place)
         edges = found if edges is None else edges.unionByName(found)
         roots, _ = _stored(components(edges), "roots")
     named, _ = _stored(classes.join(roots, classes.rep == roots.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -135,3 +136,34 @@ def test_copies_whose_first_row_has_no_id(spark):
     rows = [(None, " ".join(words), 1, "x"), (None, " ".join(words), 1, "x"), (3, " ".join(words), 1, "x"), (2, near, 1, "x"), (5, " ".join(words), 1, "x")]
     out = P.groups(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
     assert sorted((r.doc_id or -1, r.component_id) for r in out) == [(-1, 2), (-1, 2), (2, 2), (3, 2), (5, 2)]
+
+
+def test_parities_join_members_where_they_are_compared(spark, monkeypatch):
+    plans, stored = {}, P._stored
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return stored(df, label)
+
+    monkeypatch.setattr(P, "_stored", noted)
+    texts = corpus()
+    assert len(found(spark, texts)) == len(texts)
+    assert len(plans["plausible"]) == P.TURNS + 1
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)\nArguments: hashpartitioning\(key#\d+L?, \d+\)", plans["plausible"][-1])
+    assert dealt and not any("bits" in columns or "digest" in columns for columns in dealt)
+
+
+def test_shuffle_files_of_the_order_table_go(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        listed = disk.getAllFiles().toList()
+        return {name for k in range(listed.size()) if (name := listed.apply(k).getName()).startswith("shuffle_")}
+
+    before = files()
+    P.order_table(spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(20)], "doc_id long, text string"))
+    for _ in range(20):
+        if files() <= before:
+            return
+        time.sleep(0.25)
+    assert files() <= before

@@ -1,6 +1,7 @@
 """What a refresh leaves on disk: packed tables, and no shuffle of a layer that is written."""
 
 import glob
+import gzip
 import time
 
 import pytest
@@ -24,14 +25,15 @@ def lines_of(first: int, n: int) -> list[str]:
 
 @pytest.fixture()
 def landed(spark, tmp_path):
-    """Sales in two files with a line in both; events as JSON."""
+    """Sales in a plain and a gzipped file with a line in both, and one that is still being delivered; events as JSON."""
     folders = [tmp_path / "csv", tmp_path / "jsonl"]
     for folder in folders:
         folder.mkdir()
     (folders[0] / "a.csv").write_text("\n".join([HEAD, *lines_of(0, 40)]) + "\n")
-    (folders[0] / "b.csv").write_text("\n".join([HEAD, *lines_of(39, 40)]) + "\n")
+    (folders[0] / "b.csv.gz").write_bytes(gzip.compress(("\n".join([HEAD, *lines_of(39, 40)]) + "\n").encode()))
+    (folders[0] / "c.csv.gz.part").write_bytes(b"half a file")
     event = '{"event_id": "e%d", "session_id": "s%d", "visitor_id": "v", "event_type": "%s", "event_ts": "2020-01-01T08:00:00"}'
-    (folders[1] / "a.json").write_text("\n".join(event % (i, i % 3, "hover" if i == 5 else "view") for i in range(30)))
+    (folders[1] / "a.json.gz").write_bytes(gzip.compress("\n".join(event % (i, i % 3, "hover" if i == 5 else "view") for i in range(30)).encode()))
     return [f"file://{f}" for f in folders]
 
 
@@ -49,6 +51,18 @@ def test_no_shuffle_stays_and_tables_are_packed(spark, landed):
         assert files and all(f.endswith(".zstd.parquet") for f in files), table
 
 
+def test_plain_and_gzipped_deliveries_are_refreshed_alike(spark, landed):
+    root = scratch_path(spark, "disk")
+    job.refresh_landed(spark, *landed, root)
+    home = job.published(spark, root)
+    bronze = spark.read.parquet(f"{root}/bronze_sales")
+    assert {(r["_source_file"], r["count"]) for r in bronze.groupBy("_source_file").count().collect()} == {("a.csv", 40), ("b.csv.gz", 40)}
+    tagged = spark.read.parquet(f"{home}/tagged_sales")
+    assert tagged.count() == 79 and tagged.where("_source_file = 'b.csv.gz'").count() == 39  # the line of both is the first file's
+    got = {(r.feed, r.rule): (r.passed, r.failed) for r in spark.read.parquet(f"{home}/expectations").collect()}
+    assert got["sales", "no_negative_qty_outside_returns"] == (59, 20) and got["events", "known_event_type"] == (29, 1)
+
+
 def test_settings_hold_for_the_refresh_alone(spark):
     (key, other), split = WRITING, "spark.sql.files.maxPartitionBytes"
     for own, held in (("16m", 16 << 20), ("128m", 32 << 20)):

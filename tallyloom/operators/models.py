@@ -27,6 +27,14 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(weights, label)
 
 
+def sendable(model: PipelineModel) -> PipelineModel:
+    """Without the summaries of the training: they hold the session, and one that has observed a write cannot go to tasks."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def quality_model(featured: DataFrame) -> PipelineModel:
     """Balanced logistic regression on the nine features; ``label`` is answerable or noise."""
     rows = balanced(featured.withColumn("y", (F.col("label") == "answerable").cast("double")), "y")
@@ -34,7 +42,7 @@ def quality_model(featured: DataFrame) -> PipelineModel:
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         LogisticRegression(labelCol="y", weightCol="weight", maxIter=100, regParam=0.01),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    return sendable(Pipeline(stages=stages).fit(rows))
 
 
 def p_answerable(model: PipelineModel, featured: DataFrame) -> DataFrame:
@@ -237,7 +245,7 @@ def propensity(rfm: DataFrame, min_rows: int = 20) -> DataFrame:
             LogisticRegression(maxIter=100),
         ]
     ).fit(train)
-    auc = BinaryClassificationEvaluator().evaluate(model.transform(test))
+    auc = BinaryClassificationEvaluator().evaluate(sendable(model).transform(test))
     return spark.createDataFrame([(n, buyers, round(float(auc), 4))], shape)
 
 

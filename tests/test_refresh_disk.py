@@ -65,6 +65,7 @@ def test_plain_and_gzipped_deliveries_are_refreshed_alike(spark, landed):
 
 def test_settings_hold_for_the_refresh_alone(spark):
     (key, other), split = WRITING, "spark.sql.files.maxPartitionBytes"
+    first = spark.conf.get(key, None)
     for own, held in (("16m", 16 << 20), ("128m", 32 << 20)):
         spark.conf.set(other, "5")
         spark.conf.set(split, own)
@@ -72,7 +73,7 @@ def test_settings_hold_for_the_refresh_alone(spark):
             with pytest.raises(ValueError), writing(spark):
                 assert [spark.conf.get(k) for k in WRITING] == [*WRITING.values()] and spark.conf.get(split) == str(held)
                 raise ValueError
-            assert spark.conf.get(other) == "5" and spark.conf.get(key, None) is None and spark.conf.get(split) == own
+            assert spark.conf.get(other) == "5" and spark.conf.get(key, None) == first and spark.conf.get(split) == own
         finally:
             spark.conf.unset(other)
             spark.conf.unset(split)
